@@ -163,3 +163,16 @@ class Chunk:
             self.ends = self.ends - self.ends[0]
         else:
             self.ends, self.bytes = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the folder that the cluster shares, so that no later job makes them again."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        where = context.getConf().get("spark.checkpoint.dir")
+        if where is None:
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="checkpoints")
+        context.setCheckpointDir(where)
+    return rows.checkpoint()
