@@ -176,3 +176,29 @@ def cut(rows: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="checkpoints")
         context.setCheckpointDir(where)
     return rows.checkpoint()
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the words (runs of bytes other than ASCII white space), and documents' ends in words."""
+    inside = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    starts = np.flatnonzero(inside & (edge[:-1] | np.r_[True, ~inside[:-1]])) if len(data) else np.zeros(0, np.int64)
+    stops = np.flatnonzero(inside & (edge[1:] | np.r_[~inside[1:], True])) + 1 if len(data) else starts
+    return starts, stops, np.searchsorted(starts, ends)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """The hash of each word, by prefix sums over the words' own bytes."""
+    out = np.zeros(len(starts), U64)
+    for at in range(0, len(starts), block):
+        s, n = starts[at : at + block], stops[at : at + block] - starts[at : at + block]
+        first = np.cumsum(n) - n
+        local = ranges(np.zeros(len(n), np.int64), n)
+        sums = prefix_sums(BYTE_VALUES[data[local + np.repeat(s, n)]], local)
+        out[at : at + block] = sums[first + n] - sums[first]
+    return scramble(out)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracequarry.llm import decontamination, packing, quality, secrets, simhash, token_counts, topk
+from tracequarry.llm import decontamination, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, topk
 
 VOCABULARY = "byte_bpe_50k.json"
 PACKING_VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
@@ -30,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_VOCABULARY))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_quality, op5_packing, op7_secret_scans, op8_decontamination, op9_exact_top_k, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_quality, op5_packing, op6_substring_dedup, op7_secret_scans, op8_decontamination, op9_exact_top_k, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
