@@ -8,13 +8,14 @@ about data, the operator compares the symbols themselves afterwards.
 from __future__ import annotations
 
 import struct
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -165,16 +166,17 @@ class Chunk:
             self.ends, self.bytes = np.zeros(1, np.int64), np.zeros(0, np.uint8)
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder that the cluster shares, so that no later job makes them again."""
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from the session's settings; a new one of its own only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = context.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            import tempfile
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
 
-            where = tempfile.mkdtemp(prefix="checkpoints")
-        context.setCheckpointDir(where)
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the shared folder, so that no later job makes them again."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,6 +159,48 @@ def digest(found: DataFrame) -> DataFrame:
     return judged(found).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(listed.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, item_col: str = "item_id", item_text: str = "text", text_col: str = "text", max_shard_bytes: int = 16 << 20) -> DataFrame:
+    """The rows, with all their columns, that aren't contaminated; no row moves between tasks.
+
+    With more than one shard of the benchmark, the hit ranges of a text are gathered shard by shard.
+    """
+    n, load = shards(benchmark, item_col, item_text, max_shard_bytes)
+
+    def ranges_in(shard, part):
+        held = []
+
+        @F.pandas_udf("array<long>")
+        def found(texts: pd.Series, so_far: pd.Series) -> pd.Series:
+            if not held:
+                held.append(build(shard.value, width))
+            out = []
+            for t, known in zip(texts, so_far, strict=True):
+                words = words_of((t or "").encode())
+                known = [] if known is None else [int(x) for x in known][1:]
+                spans = [*zip(known[::2], known[1::2], strict=True), *search(held[0], words)[0]]
+                out.append([len(words), *(x for s in spans for x in s)])
+            return pd.Series(out)
+
+        return found(docs[text_col].cast("string"), part)
+
+    spans = F.lit(None).cast("array<long>")
+    for k in range(n):
+        spans = ranges_in(docs.sparkSession.sparkContext.broadcast(load(k)), spans)
+
+    @F.pandas_udf("boolean")
+    def fine(found: pd.Series) -> pd.Series:
+        out = []
+        for x in found:
+            words, hit, end = int(x[0]), 0, 0
+            for a, b in sorted(zip(x[1::2], x[2::2], strict=True)):
+                hit += max(0, int(b) - max(int(a), end))
+                end = max(end, int(b))
+            out.append(not (hit and 20 * hit >= words))
+        return pd.Series(out)
+
+    return docs.where(fine(spans))
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], width: int = 13) -> list[tuple]:
     """The digest rows, by comparing every window at every place; for tests."""
     import re

@@ -18,6 +18,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,3 +192,15 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     out = id_and_text(docs, id_col, text_col).mapInArrow(scored, "doc_id long, score double")
     held = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is at least the threshold; no row moves between tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([features_of((t or "").encode()) for t in texts], float).reshape(-1, len(FEATURES))
+        return pd.Series(shared.value.score(x))
+
+    return docs.where(score(docs[text_col].cast("string")) >= threshold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracequarry.llm import decontamination, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from tracequarry.llm import decontamination, ngram_scores, packing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, topk
 
 VOCABULARY = "byte_bpe_50k.json"
 PACKING_VOCABULARY = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scores.digest(ngram_scores.ngram_scores(table(spark, sf_dir, "documents")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
@@ -55,8 +59,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_quality, op5_packing, op6_substring_dedup, op7_secret_scans, op8_decontamination, op9_exact_top_k, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_ngram_scores, op4_quality, op5_packing, op6_substring_dedup, op7_secret_scans, op8_decontamination, op9_exact_top_k, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_scores": ngram_scores.SQL}

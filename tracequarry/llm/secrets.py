@@ -22,9 +22,11 @@ import re
 import zlib
 from bisect import bisect_right
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tracequarry.llm.common import id_and_text, slices
 
@@ -250,3 +252,13 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
         out += [text[at:a], mark]
         at = b
     return "".join(out) + text[at:]
+
+
+def redacted(text: Column) -> Column:
+    """The column with secrets replaced; null stays null."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact(t) if t is not None else None for t in texts], dtype=object)
+
+    return clean(text)

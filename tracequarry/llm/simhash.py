@@ -185,6 +185,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, distance: in
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows, with all their columns, of the document with the smallest id of each component.
+
+    Rows with a null id can't be named and all stay. Of rows that repeat such an id, one stays.
+    """
+    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters))
+    named = docs[id_col].cast("long")
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    kept = docs.join(first.select("doc_id").toDF("__id"), named == F.col("__id"), "left_semi")
+    if not first.where("times > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(named.isNull())) if not found.where("doc_id is null").isEmpty() else kept
+
+
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
