@@ -37,8 +37,8 @@ def read_xes_rows(spark: SparkSession, path: str, pattern: str = "*.xes") -> Dat
 
 
 def unreadable(rows: DataFrame) -> DataFrame:
-    """(log, _corrupt_record) of traces that couldn't be read."""
-    return rows.where("_corrupt_record is not null").select("log", "_corrupt_record")
+    """(log, case_id, _corrupt_record) of traces that couldn't be read."""
+    return rows.where("_corrupt_record is not null").select("log", "case_id", "_corrupt_record")
 
 
 def read_xes(spark: SparkSession, path: str, pattern: str = "*.xes") -> EventLog:
