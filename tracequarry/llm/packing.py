@@ -14,8 +14,11 @@ hold the partition's number above 32 bits of a count, so that a task run again g
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,39 +26,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tracequarry.llm.common import id_and_text, slices, texts_as_bytes
+from tracequarry.llm.token_counts import byte_symbols
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[int, "Encoder"] = {}
 
 
+class Ids(dict):
+    """Ids of pieces without ASCII white space, as bytes, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece):
+        out = self[piece] = self.make(piece)
+        return out
+
+
 class Encoder:
     """Ids of texts by a tokenizer whose splitting drops white space, so that the pieces between ASCII white space are independent.
 
-    Pieces recur; their ids are kept in a map that is cleared at a fixed size.
+    Pieces recur; their ids are kept in maps that are cleared at a fixed size. Pieces of ASCII and
+    Latin-1 letters are normalised and split here and go to the tokenizer's model directly; all
+    others go through the whole tokenizer.
     """
 
-    def __init__(self, spec: str, end_id: int, keep: int = 400_000):
+    #: How the tokenizer splits, and characters that its normaliser only lower-cases.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    SIMPLE = r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
+
+    def __init__(self, spec: str, end_id: int, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.keep, self.known = Tokenizer.from_str(spec), end_id, keep, {}
+        self.tokenizer, self.keep = Tokenizer.from_str(spec), keep
+        self.model, self.split, self.simple = self.tokenizer.model, regex.compile(self.SPLIT), regex.compile(self.SIMPLE)
+        plain = json.loads(spec)
+        usual = sys.byteorder == "little" and [s["type"] for s in plain["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and plain["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == self.SPLIT
+        self.specials, self.usual = [t["content"] for t in plain["added_tokens"]], usual
+        self.byte_symbols = dict(enumerate(byte_symbols()))
+        self.end, self.known, self.parts = np.array([end_id], "<u4").tobytes(), Ids(self.piece), Ids(self.part)
+
+    def part(self, text: str) -> bytes:
+        """Ids of one split and lower-cased part."""
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.byte_symbols)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def piece(self, raw: bytes) -> bytes:
+        if self.usual:
+            if raw.isalpha():  # ASCII letters
+                return self.parts[raw.lower().decode()]
+            if raw[-1:] in b".,;:!?" and raw[:-1].isalpha():
+                return self.parts[raw[:-1].lower().decode()] + self.parts[raw[-1:].decode()]
+            text = raw.decode()
+            if self.simple.fullmatch(text) and not (b"<" in raw and any(s in text for s in self.specials)):
+                return b"".join([self.parts[x] for x in self.split.findall(text.lower())])
+        return array("I", self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        out = []
-        for ws in words:
-            ids = [x for w in ws for x in known[w]]
-            ids.append(self.end_id)
-            out.append(np.array(ids, "<u4"))
-        return out
+        for known in (self.known, self.parts):
+            if len(known) > self.keep:
+                known.clear()
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, t.split())) + self.end, "<u4") for t in texts]
 
 
 class Packer:
