@@ -86,7 +86,7 @@ def test_token_counts(spark, corpus):
 @pytest.mark.parametrize(("chunk_bytes", "hot"), [(4 << 20, 64), (20_000, 2), (20_000, 64)])
 def test_suffix_dedup(spark, corpus, chunk_bytes, hot):
     ids = [7 * k % 101 for k in range(len(corpus))]
-    found = suffix_dedup.suffix_dedup(frame(spark, corpus, ids), hot_chunks=hot, chunk_bytes=chunk_bytes)
+    found = suffix_dedup.suffix_dedup(frame(spark, corpus, ids), hot_contexts=hot, chunk_bytes=chunk_bytes)
     assert rows(suffix_dedup.digest(found)) == sorted(suffix_dedup.brute_force(list(zip(ids, corpus, strict=True))), key=repr)
 
 
@@ -122,7 +122,7 @@ def test_collisions_of_hashes_decide_nothing(monkeypatch):
 @pytest.mark.parametrize(("chunk_bytes", "hot"), [(8 << 20, 64), (20_000, 2), (20_000, 64)])
 def test_substring_dedup(spark, corpus, chunk_bytes, hot):
     ids = [None, *range(1, len(corpus))]
-    found = substring_dedup.substring_dedup(frame(spark, corpus, ids), hot_chunks=hot, chunk_bytes=chunk_bytes)
+    found = substring_dedup.substring_dedup(frame(spark, corpus, ids), hot_contexts=hot, chunk_bytes=chunk_bytes)
     assert rows(substring_dedup.digest(found)) == sorted(substring_dedup.brute_force(list(zip(ids, corpus, strict=True))), key=repr)
 
 

@@ -151,16 +151,18 @@ def links(distinct: DataFrame, count: int, distance: int, blocks: int, per_bucke
 def contracted(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b); equal roots for connected nodes.
 
-    Each round, every node points to its smallest neighbour or itself, pointers are followed once
-    more, and edges are drawn anew between what they point to; the nodes with edges at least halve.
+    Each round, every node points to the neighbour with the least hash, or itself, pointers are
+    followed once more, and edges are drawn anew between what they point to. Hashes have no order
+    along a chain, so that the edges left shrink by a factor each round, whatever the ids.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        up = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("up"))
+        ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+        up = both.groupBy("node").agg(F.min(ranked("other")).alias("low")).select("node", F.least(ranked("node"), "low")["n"].alias("up"))
         far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-        step = cut(up.join(far, "up").select("node", F.least("up", "far").alias("root")))
+        step = cut(up.join(far, "up").select("node", F.col("far").alias("root")))
         if labels is None:
             labels = step
         else:
