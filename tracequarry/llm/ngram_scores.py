@@ -49,11 +49,13 @@ class Exploded:
         """Whether the n-gram that ends at each word is in the model, by the counts asked for."""
         return (self.place >= n - 1) & (count >= (self.min_count if n > 1 else 1))
 
-    def counts(self, answers: list[tuple[int, bytes]], rounds: int) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    def counts(self, answers: list[tuple[int, bytes]], rounds: int) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray] | None]:
         """The corpus counts of orders that ``rounds`` rounds have asked, and the distinct keys of the next one with the chunk's own counts."""
         counts: list[np.ndarray] = []
         answers = sorted(answers)
         for r in range(rounds + 1):
+            if r == max(1, self.order - 1):  # nothing more to ask
+                return counts, None
             if r == 0:
                 asked = [(1, np.ones(len(self.words), bool))] + [(2, self.place >= 1)] * (self.order > 1)
             else:
