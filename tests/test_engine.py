@@ -109,7 +109,7 @@ def test_names(spark):
     assert naming.output_location({f"k{i}": 0 for i in range(8)}, "out", "x") == "out/8_features/x"
     rows = spark.createDataFrame([("b_2",), ("b_10",), ("B_1",)], "f string")
     assert [r.f for r in rows.orderBy(naming.natural_key(F.col("f"))).collect()] == ["B_1", "b_2", "b_10"]
-    assert rows.select(naming.suffix_number(F.lit("gen_el_168.xes")).alias("n")).first().n == 168
+    assert rows.select(naming.suffix_number(F.lit("some_log_168.xes")).alias("n")).first().n == 168
 
 
 def test_similarity(spark):
