@@ -150,6 +150,7 @@ class Chunk:
     """The texts of a chunk, in an order that any phase repeats, as one buffer."""
 
     def __init__(self, table: pa.Table):
+        pa.default_memory_pool().release_unused()
         table = table.select(["id", "text"])
         table = table.set_column(1, "text", pc.fill_null(table["text"], "").cast(pa.large_binary()))
         order = pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")])

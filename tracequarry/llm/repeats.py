@@ -16,47 +16,57 @@ Rows are packed arrays, never one row per window.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracequarry.llm.common import U64, Chunk, chunked, deltas, gram_hashes, pack, powers, prefix_sums, ranges, scramble, sliding_min, text_bytes, undeltas, unpack
+from tracequarry.llm.common import BYTE_VALUES, U64, Chunk, chunked, deltas, gram_hashes, pack, powers, prefix_sums, ranges, scramble, sliding_min, text_bytes, undeltas, unpack
 
 BLOB = "chunk long, bucket long, data binary"
 #: A key in this many chunks is routed by window.
 HOT_CHUNKS = 64
+#: Contexts that are judged together, more only if one key has more.
+PIECE = 4096
+
+
+def hashed(values: np.ndarray) -> np.ndarray:
+    """Symbols as random values: bytes by a table, anything else is hashed already."""
+    return BYTE_VALUES[values] if values.dtype == np.uint8 else values
 
 
 class Contexts:
     """Runs of windows with one anchor: first window, number of windows, anchor's place, key, content hash."""
 
-    def __init__(self, values: np.ndarray, ends: np.ndarray, length: int, k: int, block: int = 1 << 18):
+    def __init__(self, values: np.ndarray, ends: np.ndarray, length: int, k: int, block: int = 1 << 16):
         n = len(values) - length + 1
         found = [[] for _ in range(5)]
-        if n > 0:
-            crossing = np.zeros(n + 1, np.int32)
-            inner = ends[(ends > 0) & (ends < len(values))]
-            np.add.at(crossing, np.minimum(np.maximum(inner - length + 1, 0), n), 1)
-            np.add.at(crossing, np.minimum(inner, n), -1)
-            valid = np.cumsum(crossing[:-1]) == 0
-            for at in range(0, n, block):
-                self._block(values, valid, at, min(at + block, n), length, k, found)
+        for at in range(0, n, block):
+            self._block(values, ends, at, min(at + block, n), length, k, found)
         kinds = (np.int64, np.int64, np.int64, U64, U64)
         self.start, self.count, self.anchor, self.key, self.content = (np.concatenate(f) if f else np.zeros(0, t) for f, t in zip(found, kinds, strict=True))
         self.length = length
 
     @staticmethod
-    def _block(values, valid, at, stop, length, k, found) -> None:
-        part = values[at : stop - 1 + length]
+    def _block(values, ends, at, stop, length, k, found) -> None:
+        inner = ends[np.searchsorted(ends, at, side="right") : np.searchsorted(ends, stop - 1 + length)]
+        crossing = np.zeros(stop - at + 1, np.int32)  # windows that hold a document's end
+        np.add.at(crossing, np.maximum(inner - length + 1 - at, 0), 1)
+        np.add.at(crossing, np.minimum(inner - at, stop - at), -1)
+        ok = np.cumsum(crossing[:-1]) == 0
+        if not ok.any():
+            return
+        part = hashed(values[at : stop - 1 + length])
         sums = prefix_sums(part)
         inverse = powers(len(part) + 1, inverse=True)
         grams = scramble((sums[k:] - sums[:-k]) * inverse[: len(part) - k + 1])
         mask = U64((1 << 20) - 1)
         least = sliding_min((grams & ~mask) | np.arange(len(grams), dtype=U64), length - k + 1)
         place = (least & mask).astype(np.int64)
-        ok = valid[at:stop]
         first = np.flatnonzero(ok & np.r_[True, (place[1:] != place[:-1]) | ~ok[:-1]])
         if not len(first):
             return
@@ -86,7 +96,7 @@ class Contexts:
             piece = out.start[at : at + (1 << 16)]
             for lo, hi in _stretches(piece, self.length):
                 a, b = piece[lo], piece[hi - 1] + self.length
-                out.content[at + lo : at + hi] = gram_hashes(values[a:b], self.length)[piece[lo:hi] - a]
+                out.content[at + lo : at + hi] = gram_hashes(hashed(values[a:b]), self.length)[piece[lo:hi] - a]
         out.key = scramble(out.content ^ U64(0x5851F42D4C957F2D))
         return out
 
@@ -139,19 +149,24 @@ class Repeats:
         stops = np.r_[starts[1:], len(key)] - 1 if len(starts) else starts
         return key[starts], (own[starts] != own[stops]) if self.across else stops > starts
 
-    def run(self, rows: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
+    def run(self, rows: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
         rows, n = chunked(rows, text_bytes(rows), chunk_bytes)
-        small, large = 2 * n, 4 * n  # buckets for keys, for contexts
+        small, large = n, 2 * n  # buckets for keys, for contexts
 
-        def prepare(table):
+        copies = self.copies(rows) if self.across else None
+
+        def prepare(table, notes):
             chunk = Chunk(table)
             values, ends, extra = self.symbols(chunk)
             contexts = Contexts(values, ends, self.length, self.k)
             owner = np.searchsorted(ends[1:], contexts.start, side="right")
+            if (copy := self.copied(chunk, notes)).any():
+                kept = np.flatnonzero(~copy[owner])
+                contexts, owner = contexts.take(kept), owner[kept]
             return chunk, values, ends, extra, contexts, owner
 
-        def ask(key, table):
-            _, _, _, _, contexts, owner = prepare(table)
+        def ask(key, table, notes=None):
+            _, _, _, _, contexts, owner = prepare(table, notes)
             keys, _ = self.keys(contexts, owner)
             return blobs([(chunk_number(key), b, pack(deltas(keys[s]))) for b, s in by_bucket(buckets_of(keys, small))])
 
@@ -164,8 +179,9 @@ class Repeats:
 
         def send(key, table, answers):
             number = chunk_number(key)
-            chunk, values, ends, extra, contexts, owner = prepare(table)
+            chunk, values, ends, extra, contexts, owner = prepare(table, answers)
             keys, local = self.keys(contexts, owner)
+            answers = answers.filter(pc.greater_equal(answers["bucket"], 0))
             order = np.argsort(answers["bucket"].to_numpy()) if answers.num_rows else []
             data = answers["data"]
             flags = np.concatenate([unpack(data[int(i)].as_py())[0] for i in order]) if len(order) else np.zeros(0, np.uint8)
@@ -183,21 +199,50 @@ class Repeats:
         def finish(key, table, answers):
             chunk = Chunk(table)
             values, ends, extra = self.symbols(chunk)
-            found = [unpack(d) for d in answers["data"].to_pylist()]
+            found = [unpack(d) for d in answers.filter(pc.greater_equal(answers["bucket"], 0))["data"].to_pylist()]
             cover = np.zeros(len(values) + 1, np.int32)
             for start, mask in found:
                 for j in range(int(mask.max(initial=0)).bit_length()):
                     at = start[(mask >> U64(j) & U64(1)).astype(bool)].astype(np.int64) + j
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + self.length, -1)
-            return self.apply(chunk, ends, extra, np.cumsum(cover[:-1]) > 0)
+            for d in np.flatnonzero(self.copied(chunk, answers)):
+                if ends[d + 1] - ends[d] >= self.length:
+                    cover[ends[d]] += 1
+                    cover[ends[d + 1]] -= 1
+            np.cumsum(cover, out=cover)
+            return self.apply(chunk, ends, extra, cover[:-1] > 0)
 
         by_chunk = lambda df: df.groupBy("chunk")
-        asked = by_chunk(rows).applyInArrow(ask, BLOB)
+        noted = lambda df: df.unionByName(copies) if self.across else df
+        asked = by_chunk(rows).cogroup(by_chunk(copies)).applyInArrow(lambda key, t, c: ask(key, t, c), BLOB) if self.across else by_chunk(rows).applyInArrow(lambda key, t: ask(key, t), BLOB)
         answered = asked.groupBy("bucket").applyInArrow(answer, BLOB)
-        sent = by_chunk(rows).cogroup(by_chunk(answered)).applyInArrow(send, BLOB)
+        sent = by_chunk(rows).cogroup(by_chunk(noted(answered))).applyInArrow(send, BLOB)
         judged = sent.groupBy("bucket").applyInArrow(judge, BLOB)
-        return by_chunk(rows).cogroup(by_chunk(judged)).applyInArrow(finish, self.schema)
+        return by_chunk(rows).cogroup(by_chunk(noted(judged))).applyInArrow(finish, self.schema)
+
+    @staticmethod
+    def copies(rows: DataFrame) -> DataFrame:
+        """(chunk, bucket -1, data: the text's hash) of the rows whose whole text is also that of a smaller id.
+
+        Exact copies need no windows: all of theirs start in a smaller id. Only ids and hashes move.
+        """
+        texts = rows.select("chunk", "id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+        first = texts.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("sha", "least")
+        found = texts.join(first, "sha").where("id > least")
+        return found.select((F.col("chunk") + 0).alias("chunk"), F.lit(-1).cast("long").alias("bucket"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), F.col("sha")).alias("data"))
+
+    @staticmethod
+    def copied(chunk: Chunk, notes: pa.Table | None) -> np.ndarray:
+        """Which documents of the chunk are noted as copies."""
+        out = np.zeros(len(chunk.ids), bool)
+        if notes is not None and (told := set(notes.filter(pc.less(notes["bucket"], 0))["data"].to_pylist())):
+            known = {t[:8] for t in told}
+            for d, i in enumerate(chunk.ids.tolist()):
+                name = (i & (1 << 64) - 1).to_bytes(8, "big")
+                if name in known:
+                    out[d] = name + hashlib.sha256(chunk.bytes[chunk.ends[d] : chunk.ends[d + 1]]).digest() in told
+        return out
 
     def parcels(self, number: int, chunk: Chunk, c: Contexts, owner: np.ndarray, values: np.ndarray, extra, buckets: int) -> list[tuple[int, int, bytes]]:
         """The distinct contexts with their places, packed for each bucket."""
@@ -229,7 +274,15 @@ class Repeats:
         join = lambda k, f=lambda x: x: np.concatenate([f(p[k]) for p in parts])
         key, anchor, count, least = join(0, undeltas), join(1).astype(np.int64), join(2).astype(np.int64), join(3)
         places, lengths, start, own, data = join(4).astype(np.int64), join(5).astype(np.int64), join(6), join(7).astype(bool), join(8)
-        mask_own, mask_other = self.decide(self.length, key, anchor, count, least, places, lengths, data)
+        begin, order = np.cumsum(lengths) - lengths, np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+        mask_own, mask_other = np.zeros(len(key), U64), np.zeros(len(key), U64)
+        at = 0
+        while at < len(order):  # some keys at a time, which bounds what the decision needs
+            stop = edges[min(np.searchsorted(edges, at + PIECE), len(edges) - 1)]
+            r = order[at:stop]
+            mask_own[r], mask_other[r] = self.decide(self.length, key[r], anchor[r], count[r], least[r], places[r], lengths[r], data[ranges(begin[r], lengths[r])])
+            at = stop
         chunk = np.repeat(np.repeat(chunks, [len(p[0]) for p in parts]), places)
         mask = np.where(own, np.repeat(mask_own, places), np.repeat(mask_other, places))
         keep = np.flatnonzero(mask)

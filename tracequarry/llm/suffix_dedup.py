@@ -1,8 +1,8 @@
 """Suffix-array dedup of byte strings, by a hash-compared suffix sort.
 
 Every byte covered by a string of ``length`` bytes that also starts in a document of smaller id is
-removed, judged on the input. Candidate windows meet by the exchange of ``repeats``. In a bucket,
-suffixes are sorted by a mergesort whose comparisons find the common extension of two suffixes by
+removed, judged on the input. Candidate windows meet by the exchange of ``repeats``. Whole copies
+are known by their hash before, and only one of them sends windows. In a bucket, suffixes are sorted by a mergesort whose comparisons find the common extension of two suffixes by
 binary search over prefix polynomial hashes, in logarithmic steps; neighbours that extend over the
 whole window are then compared byte by byte, so that a collision of hashes decides nothing.
 
@@ -163,7 +163,7 @@ def decide(length, key, anchor, count, least, places, lengths, data):
 
 
 def byte_symbols(chunk: Chunk):
-    return BYTE_VALUES[chunk.bytes], chunk.ends, None
+    return chunk.bytes, chunk.ends, None
 
 
 def byte_contexts(chunk: Chunk, contexts: Contexts, _):
@@ -185,7 +185,7 @@ def removed(chunk: Chunk, ends: np.ndarray, _, covered: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(chunk.ids, pa.int64()), "n_bytes": pa.array(np.diff(ends), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = 64, chunk_bytes: int = 8 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = 64, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, [first, end) flattened), kept (the other bytes) of every row."""
     rows = id_and_text(docs, id_col, text_col).where("id is not null")
     return Repeats(length, max(1, length // 2 - 1), byte_symbols, byte_contexts, True, decide, removed, SCHEMA, hot_chunks).run(rows, chunk_bytes)
