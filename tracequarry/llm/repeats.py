@@ -6,8 +6,8 @@ context. Three rounds over chunks of documents:
 
 1. Each chunk sends its distinct anchor keys; the buckets of keys answer which occur in more chunks.
 2. Each chunk sends the distinct contexts of shared keys to the keys' buckets, where an operator's
-   own method decides which windows recur. Keys that occur in very many chunks are split: there each
-   window is a context of its own and goes where its own hash says, so that no group grows with the
+   own method decides which windows recur. Keys with very many contexts are split: there each window is
+   a context of its own and goes where its own hash says, so that no group grows with the
    corpus; equal contexts are merged before they are sent.
 3. Each chunk applies the answers to its whole texts.
 
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from tracequarry.llm.common import BYTE_VALUES, U64, Chunk, chunked, deltas, gram_hashes, pack, powers, prefix_sums, ranges, scramble, sliding_min, text_bytes, undeltas, unpack
 
 BLOB = "chunk long, bucket long, data binary"
-#: A key in this many chunks is routed by window.
-HOT_CHUNKS = 64
 #: Contexts that are judged together, more only if one key has more.
 PIECE = 4096
 
@@ -133,21 +131,24 @@ def chunk_number(key) -> int:
 class Repeats:
     """The three rounds, for an operator that says what symbols are and which windows recur.
 
+    A key with ``hot_contexts`` contexts in the corpus is split by window: what a decision needs
+    for so many contexts bounds a task's memory.
+
     ``symbols(chunk)`` gives (values, ends of documents in symbols, anything ``context_bytes`` needs).
     """
 
-    def __init__(self, length: int, k: int, symbols: Callable, context_bytes: Callable, across: bool, decide: Callable, apply: Callable, schema: str, hot_chunks: int = HOT_CHUNKS):
+    def __init__(self, length: int, k: int, symbols: Callable, context_bytes: Callable, across: bool, decide: Callable, apply: Callable, schema: str, hot_contexts: int):
         self.length, self.k, self.symbols, self.context_bytes, self.across = length, k, symbols, context_bytes, across
-        self.decide, self.apply, self.schema, self.hot_chunks = decide, apply, schema, hot_chunks
+        self.decide, self.apply, self.schema, self.hot_contexts = decide, apply, schema, hot_contexts
 
-    def keys(self, contexts: Contexts, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys, and whether each recurs within the chunk: in two documents, or at all if not ``across``."""
+    def keys(self, contexts: Contexts, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, whether each recurs within the chunk (in two documents, or at all if not ``across``), and their contexts there."""
         order = np.lexsort((owner, contexts.key)) if self.across else np.argsort(contexts.key)
         key, own = contexts.key[order], owner[order]
         new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
         stops = np.r_[starts[1:], len(key)] - 1 if len(starts) else starts
-        return key[starts], (own[starts] != own[stops]) if self.across else stops > starts
+        return key[starts], (own[starts] != own[stops]) if self.across else stops > starts, stops - starts + 1
 
     def run(self, rows: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
         rows, n = chunked(rows, text_bytes(rows), chunk_bytes)
@@ -167,20 +168,22 @@ class Repeats:
 
         def ask(key, table, notes=None):
             _, _, _, _, contexts, owner = prepare(table, notes)
-            keys, _ = self.keys(contexts, owner)
-            return blobs([(chunk_number(key), b, pack(deltas(keys[s]))) for b, s in by_bucket(buckets_of(keys, small))])
+            keys, _, times = self.keys(contexts, owner)
+            return blobs([(chunk_number(key), b, pack(deltas(keys[s]), np.minimum(times[s], 65_535).astype(np.uint16))) for b, s in by_bucket(buckets_of(keys, small))])
 
         def answer(table):
             chunks, bucket = table["chunk"].to_pylist(), table["bucket"][0].as_py()
-            asked = [undeltas(unpack(d)[0]) for d in table["data"].to_pylist()]
-            keys, counts = np.unique(np.concatenate(asked), return_counts=True)
-            flags = np.where(counts >= self.hot_chunks, 2, np.where(counts > 1, 1, 0)).astype(np.uint8)
+            parts = [unpack(d) for d in table["data"].to_pylist()]
+            asked = [undeltas(p[0]) for p in parts]
+            keys, at, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+            total = np.bincount(at, np.concatenate([p[1] for p in parts]))
+            flags = np.where(total >= self.hot_contexts, 2, np.where(counts > 1, 1, 0)).astype(np.uint8)
             return blobs([(c, bucket, pack(flags[np.searchsorted(keys, a)])) for c, a in zip(chunks, asked, strict=True)])
 
         def send(key, table, answers):
             number = chunk_number(key)
             chunk, values, ends, extra, contexts, owner = prepare(table, answers)
-            keys, local = self.keys(contexts, owner)
+            keys, local, _ = self.keys(contexts, owner)
             answers = answers.filter(pc.greater_equal(answers["bucket"], 0))
             order = np.argsort(answers["bucket"].to_numpy()) if answers.num_rows else []
             data = answers["data"]

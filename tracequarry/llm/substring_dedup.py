@@ -29,6 +29,8 @@ from tracequarry.llm.suffix_dedup import runs
 SCHEMA = "doc_id long, n_words long, spans array<long>, kept string"
 #: Words in one automaton, more only if the contexts of one key have more.
 AUTOMATON_WORDS = 100_000
+#: Contexts of one key that share an automaton: about as many words.
+HOT_CONTEXTS = 2048
 
 
 class Automaton:
@@ -170,10 +172,10 @@ def removed(chunk: Chunk, ends: np.ndarray, extra, covered: np.ndarray) -> pa.Ta
     return pa.table({"doc_id": pa.array(chunk.ids, pa.int64(), from_pandas=True), "n_words": pa.array(np.diff(ends), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
-def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = 64, chunk_bytes: int = 8 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, spans (removed ranges of words, [first, end) flattened), kept (the other words, joined by a space) of every row."""
     rows = id_and_text(docs, id_col, text_col)
-    return Repeats(length, max(1, (length + 1) // 3), word_symbols, word_contexts, False, decide, removed, SCHEMA, hot_chunks).run(rows, chunk_bytes)
+    return Repeats(length, max(1, (length + 1) // 3), word_symbols, word_contexts, False, decide, removed, SCHEMA, hot_contexts).run(rows, chunk_bytes)
 
 
 def digest(found: DataFrame) -> DataFrame:

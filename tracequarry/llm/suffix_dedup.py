@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tracequarry.llm.common import BYTE_VALUES, U64, Chunk, id_and_text, powers, ranges
 from tracequarry.llm.repeats import Contexts, Repeats, full
 
+#: Contexts of one key that are sorted together: about 1 MB of text and 200,000 suffixes.
+HOT_CONTEXTS = 16_384
 SCHEMA = "doc_id long, n_bytes long, spans array<long>, kept binary"
 
 
@@ -185,10 +187,10 @@ def removed(chunk: Chunk, ends: np.ndarray, _, covered: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(chunk.ids, pa.int64()), "n_bytes": pa.array(np.diff(ends), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = 64, chunk_bytes: int = 4 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, [first, end) flattened), kept (the other bytes) of every row."""
     rows = id_and_text(docs, id_col, text_col).where("id is not null")
-    return Repeats(length, max(1, length // 2 - 1), byte_symbols, byte_contexts, True, decide, removed, SCHEMA, hot_chunks).run(rows, chunk_bytes)
+    return Repeats(length, max(1, length // 2 - 1), byte_symbols, byte_contexts, True, decide, removed, SCHEMA, hot_contexts).run(rows, chunk_bytes)
 
 
 def digest(found: DataFrame) -> DataFrame:
