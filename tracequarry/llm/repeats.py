@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import BYTE_VALUES, U64, Chunk, chunked, deltas, gram_hashes, pack, powers, prefix_sums, ranges, scramble, sliding_min, text_bytes, undeltas, unpack
+from tracequarry.llm.common import BYTE_VALUES, U64, Chunk, chunked, cut, deltas, gram_hashes, pack, powers, prefix_sums, ranges, scramble, sliding_min, text_bytes, undeltas, unpack
 
 BLOB = "chunk long, bucket long, data binary"
 #: Contexts that are judged together, more only if one key has more.
@@ -231,7 +231,8 @@ class Repeats:
         Exact copies need no windows: all of theirs start in a smaller id. Only ids and hashes move.
         """
         texts = rows.select("chunk", "id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
-        first = texts.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("sha", "least")
+        # cut, so that both sides of the join are plain shuffles, which Spark splits where one text is very frequent
+        first = cut(texts.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("sha", "least"))
         found = texts.join(first, "sha").where("id > least")
         return found.select((F.col("chunk") + 0).alias("chunk"), F.lit(-1).cast("long").alias("bucket"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), F.col("sha")).alias("data"))
 
