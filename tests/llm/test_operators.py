@@ -246,6 +246,18 @@ def test_secrets_in_layers():
     assert secrets.spans(secret)[0] == [(0, 0, 24)]
 
 
+def test_secrets_with_a_plain_key_and_an_escaped_value():
+    value = "s3cretvalue/0123"
+    for wrap in (lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"%{ord(c):02X}" for c in t), lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: urllib.parse.quote(t, safe="").replace("%", "%25"), lambda t: f"\\x73%33{t[2:]}"):
+        for before, after in (('{"password": "', '", "user": "x"}'), ("see\nsecret: ", " end"), ("token = ", "")):
+            text = before + wrap(value) + after
+            key = before.index(next(w for w in ("password", "secret", "token") if w in before))
+            assert any(a == key and b == len(before + wrap(value)) and k == 0 for a, k, b in secrets.spans(text)[1]), text
+            assert wrap(value)[-4:] not in secrets.redact(text)
+    assert secrets.redact("secret: ab%2Fcdefghijklmnop end") == "[SECRET] end"
+    assert secrets.redact("&#115;ecret : abcdefghijklmnop end") == "[SECRET] end"
+
+
 def test_secret_rules():
     kinds = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.spans(t)[0]]
     assert kinds("AKIA" + "A" * 14) == [("access", "AKIA" + "A" * 14)] and kinds("AKIA" + "A" * 13) == []

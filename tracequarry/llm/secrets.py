@@ -2,7 +2,8 @@
 
 A worklist starts with the whole text. Each layer is scanned for secrets; then every URL-escaped,
 Unicode-escaped, base64 and compressed region in it becomes a further layer, with a map from its
-characters to the original's, until nothing new comes up. Layers seen before (same content over
+characters to the original's, until nothing new comes up. Escapes are decoded token by token and over
+the whole layer, so that plain text on both sides stays next to what was escaped. Layers seen before (same content over
 the same original span) are not taken again, which ends cycles. A secret in a decoded layer is
 reported at the original characters that it came from.
 
@@ -40,6 +41,7 @@ ASSIGN_LEAST = 12
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
+EITHER = re.compile(f"{PERCENT.pattern}|{ESCAPE.pattern}")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e\xa0-퟿-�\U00010000-\U0010ffff]*\Z")
@@ -104,6 +106,18 @@ class Builder:
         return Layer("".join(self.parts), *map(list, zip(*self.runs, strict=True))) if self.runs else None
 
 
+def decoded(parent: Layer, pattern: re.Pattern, decode, start: int, end: int) -> Layer | None:
+    """A stretch of a layer, the escapes in it decoded."""
+    built, at = Builder(parent), start
+    for m in pattern.finditer(parent.text, start, end):
+        built.add(parent.text[at : m.start()], at, m.start(), True)
+        for piece, s, e in decode(m):
+            built.add(piece, s, e, False)
+        at = m.end()
+    built.add(parent.text[at:end], at, end, True)
+    return built.layer()
+
+
 def unescaped(parent: Layer, pattern: re.Pattern, decode) -> list[Layer]:
     """A layer for each space-free token in which the pattern occurs, its escapes decoded."""
     out, text, done = [], parent.text, -1
@@ -116,18 +130,22 @@ def unescaped(parent: Layer, pattern: re.Pattern, decode) -> list[Layer]:
         b = hit.end()
         while b < len(text) and not text[b].isspace():
             b += 1
-        done, built, at = b, Builder(parent), a
-        for m in pattern.finditer(text, a, b):
-            built.add(text[at : m.start()], at, m.start(), True)
-            for piece, s, e in decode(m):
-                built.add(piece, s, e, False)
-            at = m.end()
-        built.add(text[at:b], at, b, True)
-        if (new := built.layer()) is not None:
+        done = b
+        if (new := decoded(parent, pattern, decode, a, b)) is not None:
             out.append(new)
     return out
 
 
+def in_context(parent: Layer) -> list[Layer]:
+    """The whole layer with its escapes of either kind decoded, so that a key and a value meet across spaces.
+
+    One layer, not one for each kind: a match of ASSIGN holds no part of an escape, and orders of
+    decoding would be exponentially many.
+    """
+    new = decoded(parent, EITHER, either_pieces, 0, len(parent.text)) if EITHER.search(parent.text) else None
+    return [] if new is None else [new]
+
+
 def percent_pieces(m: re.Match):
     raw = bytes.fromhex(m[0].replace("%", ""))
     if raw.isascii():
@@ -148,6 +166,10 @@ def escape_pieces(m: re.Match):
         yield chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "�", m.start() + s, m.start() + e
 
 
+def either_pieces(m: re.Match):
+    return percent_pieces(m) if m[0][0] == "%" else escape_pieces(m)
+
+
 def expanded(raw: bytes, max_layer: int) -> bytes | None:
     """What a compressed stream holds, up to max_layer bytes; None if raw is none."""
     try:
@@ -209,6 +231,7 @@ def spans(text: str, max_layer: int = 64 << 20) -> tuple[list[tuple[int, int, in
             layers += unescaped(layer, PERCENT, percent_pieces)
         if "\\" in layer.text or "&#" in layer.text:
             layers += unescaped(layer, ESCAPE, escape_pieces)
+        layers += in_context(layer)
         layers += base64_layers(layer, max_layer)
         for new in layers:
             key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.first[0], new.last[-1])
