@@ -98,6 +98,14 @@ def test_phrases_and_edits():
     assert entropies.edit_distance(list("abc"), list("xyzuvw"), 2) == 3
 
 
+def test_lempel_ziv_reads_traces_in_order(spark):
+    traces = ["ab", "cad", "ab", "bb", "cad", "ab", "", "bb", "ab", "cad", "d"] * 3
+    rate = lambda t: entropies.phrases(t) * math.log2(len(t)) / len(t)
+    got = entropies.lempel_ziv(log_of(spark, traces)).first()
+    assert got.eventropy_lempel_ziv == pytest.approx(rate("".join(traces))) != pytest.approx(rate("".join(sorted(traces, key=traces.index))))
+    assert got.eventropy_lempel_ziv_flattened == pytest.approx(rate("abcadbbd"))
+
+
 def test_nearest_neighbours(spark):
     got = entropies.nearest_neighbours(log_of(spark, ["ab"] * 4 + ["cd"] * 4)).first()
     assert got.eventropy_knn_3 == 0 and got.eventropy_knn_5 == pytest.approx(math.log2(8 * 2 / 5 + 1))

@@ -1,13 +1,14 @@
 """Entropies of traces, prefixes and blocks, in bits.
 
 ``flattened`` counts each variant once. The complexity and nearest-neighbour entropies are
-sequential and run per log in Python: the first reads one case per variant and its weight, the second
-compares variants within bands of length.
+sequential and run per log in Python: the first reads one case per variant and the order of traces, the
+second compares variants within bands of length.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -55,10 +56,10 @@ def block_features(log: EventLog) -> DataFrame:
 
 
 def sequences(log: EventLog) -> DataFrame:
-    """One row per non-empty variant: its activities as an array, its frequency ``n`` and when it was first seen."""
+    """One row per non-empty variant: its key, its activities as an array and its frequency ``n``."""
     one = log.traces.where("n_events > 0").groupBy("log", "n_events", "v1", "v2").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
-    one = one.select("log", "n", "seen", F.col("seen.case_id").alias("case_id"))
-    acts = log.events.join(one, ["log", "case_id"]).groupBy("log", "case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda s: s["activity"]).alias("activities"), F.first("n").alias("n"), F.first("seen").alias("seen"))
+    one = one.select("log", "n_events", "v1", "v2", "n", F.col("seen.case_id").alias("case_id"))
+    acts = log.events.join(one, ["log", "case_id"]).groupBy("log", "case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda s: s["activity"]).alias("activities"), *(F.first(c).alias(c) for c in ("n_events", "v1", "v2", "n")))
     return acts
 
 
@@ -72,7 +73,7 @@ def global_block_entropy(log: EventLog) -> DataFrame:
     return every.join(entropy(counted, "v", ["log"]).withColumnRenamed("entropy", "eventropy_global_block_flattened"), "log")
 
 
-def phrases(symbols: list) -> int:
+def phrases(symbols: Iterable) -> int:
     """The number of phrases of a Lempel-Ziv (1978) parsing."""
     nodes, at, count = {}, 0, 0
     for s in symbols:
@@ -89,20 +90,23 @@ def phrases(symbols: list) -> int:
 def lempel_ziv(log: EventLog) -> DataFrame:
     """eventropy_lempel_ziv: phrases * log2(symbols) / symbols of the log's traces in order of appearance, one after another; flattened with each variant once.
 
-    The parsing reads a log's events one after another: a log's variants with their frequencies come
-    together in one task, its traces never do.
+    The parsing reads a log's events one after another: a log's variants come together in one task,
+    with its traces as ordered keys of variants.
     """
 
-    def parse(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn", kind="stable")
-        out = {"log": [rows["log"].iloc[0]]}
-        for name, repeat in (("eventropy_lempel_ziv", rows["n"]), ("eventropy_lempel_ziv_flattened", [1] * len(rows))):
-            symbols = [a for acts, n in zip(rows["activities"], repeat, strict=True) for _ in range(int(n)) for a in acts]
-            out[name] = [phrases(symbols) * math.log2(len(symbols)) / len(symbols) if len(symbols) > 1 else 0.0]
+    def parse(variants: pd.DataFrame, traces: pd.DataFrame) -> pd.DataFrame:
+        texts = dict(zip(zip(variants["n_events"], variants["v1"], variants["v2"], strict=True), variants["activities"], strict=True))
+        traces = traces.sort_values("turn")
+        keys = list(zip(traces["n_events"], traces["v1"], traces["v2"], strict=True))
+        out = {"log": [variants["log"].iloc[0]]}
+        for name, order in (("eventropy_lempel_ziv", keys), ("eventropy_lempel_ziv_flattened", dict.fromkeys(keys))):
+            size = sum(int(n) for n, _, _ in order)
+            out[name] = [phrases(a for key in order for a in texts[key]) * math.log2(size) / size if size > 1 else 0.0]
         return pd.DataFrame(out)
 
-    rows = sequences(log).withColumn("turn", F.row_number().over(Window.partitionBy("log").orderBy("seen"))).select("log", "n", "activities", "turn")
-    return rows.groupBy("log").applyInPandas(parse, "log string, eventropy_lempel_ziv double, eventropy_lempel_ziv_flattened double")
+    variants = sequences(log).select("log", "n_events", "v1", "v2", "activities")
+    traces = log.traces.where("n_events > 0").withColumn("turn", F.row_number().over(Window.partitionBy("log").orderBy("seen"))).select(F.col("log").alias("of"), "n_events", "v1", "v2", "turn")
+    return variants.groupBy("log").cogroup(traces.groupBy("of")).applyInPandas(parse, "log string, eventropy_lempel_ziv double, eventropy_lempel_ziv_flattened double")
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
