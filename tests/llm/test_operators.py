@@ -258,6 +258,25 @@ def test_secrets_with_a_plain_key_and_an_escaped_value():
     assert secrets.redact("&#115;ecret : abcdefghijklmnop end") == "[SECRET] end"
 
 
+def test_secrets_in_compressed_and_mixed_bytes():
+    secret, rng = b'password = "abcdefghijkl"', random.Random(3)
+    noise = bytes(rng.randrange(256) for _ in range(60))
+    encoded = {
+        "url": lambda b: urllib.parse.quote(b), "form": lambda b: urllib.parse.quote_plus(b), "url, all": lambda b: "".join(f"%{x:02x}" for x in b), "x": lambda b: "".join(f"\\x{x:02x}" for x in b), "repr": lambda b: repr(b),
+        "u": lambda b: "".join(f"\\u{x:04x}" for x in b), "base64": lambda b: base64.b64encode(b).decode(), "characters": lambda b: b.decode("latin-1"), "url of x": lambda b: urllib.parse.quote("".join(f"\\x{x:02x}" for x in b)),
+    }
+    zstd = secrets.zstandard.compress
+    for squeeze in (gzip.compress, zlib.compress, bz2.compress, secrets.lzma.compress, zstd, lambda b: gzip.compress(b[:13]) + gzip.compress(b[13:]), lambda b: bz2.compress(b[:13]) + bz2.compress(b[13:]), lambda b: zstd(b[:13]) + zstd(b[13:]), lambda b: b"head\x00" + zlib.compress(noise + gzip.compress(b)) + b"\xff tail"):
+        for name, encode in encoded.items():
+            text = f"see {encode(squeeze(secret + noise))} end"
+            assert any(k == 0 and 4 <= a < b <= len(text) - 4 for a, k, b in secrets.spans(text)[1]), (name, text)
+    for raw in (secret + b"\x00", b"\xff\xfe\x07" + secret + b" \xe9", noise + secret + noise):
+        assert "[SECRET]" in secrets.redact(f"see {base64.b64encode(raw).decode()} end")
+    cut = gzip.compress(secret + bytes(rng.randrange(256) for _ in range(9000)))[:-3000]
+    assert "[SECRET]" in secrets.redact(base64.b64encode(cut).decode())
+    assert all(len(t) <= 4096 for t in secrets.texts(gzip.compress(bytes(1 << 20)) * 3, 4096) if not t.startswith("\x1f"))
+
+
 def test_secret_rules():
     kinds = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.spans(t)[0]]
     assert kinds("AKIA" + "A" * 14) == [("access", "AKIA" + "A" * 14)] and kinds("AKIA" + "A" * 13) == []

@@ -7,8 +7,12 @@ the whole layer, so that plain text on both sides stays next to what was escaped
 the same original span) are not taken again, which ends cycles. A secret in a decoded layer is
 reported at the original characters that it came from.
 
+Compressed streams (gzip, zlib, bzip2, xz, zstd) are found at any place in the bytes of base64, of URL
+escapes, of \\x and similar escapes, and of characters below 256. Bytes that are no text throughout are
+scanned too: what isn't UTF-8 becomes a replacement character, at which every match ends.
+
 Null texts are empty. Rows with a null id keep it; repeated rows are scanned each; an empty table
-gives an empty result. Other columns are not read. A compressed layer is expanded up to
+gives an empty result. Other columns are not read. A compressed stream is expanded up to
 ``max_layer`` bytes, which bounds memory against decompression bombs; its start is still scanned.
 """
 
@@ -44,7 +48,16 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6}
 EITHER = re.compile(f"{PERCENT.pattern}|{ESCAPE.pattern}")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e\xa0-퟿-�\U00010000-\U0010ffff]*\Z")
+#: Where a compressed stream can start: the usual zlib headers anywhere, those of small windows first of all.
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\A[\x08\x18\x28\x38\x48\x58\x68](?s:.)")
+LATIN = re.compile(r"[\x00-\xff]{8,}")
+#: Escapes of single bytes, as URLs and as literals of programs and JSON have them; in forms, "+" is a space.
+BYTE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+BYTE_FORM = re.compile(r"%([0-9A-Fa-f]{2})|(\+)")
+BYTE_ESCAPE = re.compile(r"\\u00([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|&#x0*([0-9A-Fa-f]{1,2});|&#0*([0-9]{1,3});|\\([0-3]?[0-7]{1,2})|\\([abtnvfr\\'\"/])")
+NAMED = dict(zip("abtnvfr\\'\"/", "\a\b\t\n\v\f\r\\'\"/", strict=True))
+#: Streams within streams are unwrapped to this depth.
+DEEPEST = 64
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -170,42 +183,98 @@ def either_pieces(m: re.Match):
     return percent_pieces(m) if m[0][0] == "%" else escape_pieces(m)
 
 
-def expanded(raw: bytes, max_layer: int) -> bytes | None:
-    """What a compressed stream holds, up to max_layer bytes; None if raw is none."""
+def percent_byte(m: re.Match):
+    yield chr(int(m[1], 16)), m.start(), m.end()
+
+
+def form_byte(m: re.Match):
+    yield " " if m[2] else chr(int(m[1], 16)), m.start(), m.end()
+
+
+def escape_byte(m: re.Match):
+    code = int(m[1] or m[2] or m[3], 16) if m[1] or m[2] or m[3] else int(m[4]) if m[4] else int(m[5], 8) if m[5] else ord(NAMED[m[6]])
+    yield chr(code), m.start(), m.end()
+
+
+def member(raw: memoryview, most: int) -> tuple[bytes, int, bool]:
+    """What one compressed stream at the start of raw holds, up to about ``most`` bytes; where it ends; whether it is complete.
+
+    Of a broken stream, what came before the break.
+    """
+    head, step = bytes(raw[:6]), 256
+    if head[:2] == b"\x1f\x8b":
+        engine = zlib.decompressobj(31)
+    elif head[:3] == b"BZh":
+        engine = bz2.BZ2Decompressor()
+    elif head == b"\xfd7zXZ\x00":
+        engine = lzma.LZMADecompressor(memlimit=256 << 20)
+    elif head[:4] == b"\x28\xb5\x2f\xfd":
+        engine, step = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), 64  # it knows no limit, so it gets little at a time
+    elif len(head) > 1 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        engine = zlib.decompressobj()
+    else:
+        return b"", 0, False
+    limit = () if step == 64 else (most,)
+    out, at = bytearray(), 0
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, max_layer)
-        if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, max_layer)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, max_layer)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=256 << 20).decompress(raw, max_layer)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as f:
-                return f.read(max_layer)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return None
-
-
-def readable(raw: bytes, max_layer: int) -> str | None:
-    """The text that bytes hold, unwrapping compressed layers until none is left; None if it isn't text."""
-    for _ in range(64):
-        inner = expanded(raw, max_layer)
-        if inner is None or inner == raw:
+        while at < len(raw) and len(out) < most and not engine.eof:
+            out += engine.decompress(bytes(raw[at : at + step]), *(m - len(out) for m in limit))
+            at += step
+    except (zlib.error, OSError, EOFError, ValueError, MemoryError, lzma.LZMAError, zstandard.ZstdError):
+        return bytes(out[:most]), min(at, len(raw)), False
+    at = min(at, len(raw))
+    return bytes(out[:most]), at - len(engine.unused_data) if engine.eof else at, engine.eof
+
+
+def expanded(raw: memoryview, most: int) -> tuple[bytes, int, bool]:
+    """As member(), with the members that follow at once, as of concatenated files, up to ``most`` bytes together."""
+    out, at, complete = member(raw, most)
+    parts, size, head = [out], len(out), bytes(raw[:2])
+    while complete and size < most and bytes(raw[at : at + 2]) == head:
+        out, end, whole = member(raw[at:], most - size)
+        if not whole and not out:
             break
-        raw = inner
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and PRINTABLE.match(text) else None
+        parts.append(out)
+        at, size, complete = at + end, size + len(out), whole
+    return b"".join(parts), at, complete
+
+
+def streams(raw: bytes, most: int):
+    """(start, end, content) of the compressed streams in raw."""
+    done = 0
+    for m in MAGIC.finditer(raw):
+        if m.start() >= done:
+            out, end, complete = expanded(memoryview(raw)[m.start() :], most)
+            if complete:
+                done = m.start() + end
+            if out:
+                yield m.start(), m.start() + end, out
+
+
+def texts(raw: bytes, max_layer: int):
+    """The texts that bytes hold: their own, and those of all streams in them, however deep."""
+    waiting, seen = [(raw, 0)], set()
+    while waiting:
+        raw, depth = waiting.pop()
+        key = hashlib.blake2b(raw, digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        whole = False
+        for start, end, content in streams(raw, max_layer) if depth < DEEPEST else ():
+            waiting.append((content, depth + 1))
+            whole = whole or end - start == len(raw)
+        if raw and not whole:
+            yield raw.decode("utf-8", "replace")
 
 
-def base64_layers(parent: Layer, max_layer: int) -> list[Layer]:
+def base64_layers(parent: Layer, max_layer: int, seen: set) -> list[Layer]:
     out = []
     for m in BASE64.finditer(parent.text):
+        first, last = parent.origin(m.start(), m.end())
+        if (m[0], first, last) in seen:
+            continue
+        seen.add((m[0], first, last))
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             continue
@@ -213,17 +282,31 @@ def base64_layers(parent: Layer, max_layer: int) -> list[Layer]:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        text = readable(raw, max_layer)
-        if text is not None:
-            first, last = parent.origin(m.start(), m.end())
-            out.append(Layer(text, [0], [first], [last], [False]))
+        out += [Layer(text, [0], [first], [last], [False]) for text in texts(raw, max_layer)]
+    return out
+
+
+def compressed_layers(parent: Layer, max_layer: int) -> list[Layer]:
+    """The texts of streams whose bytes are the layer's characters, plain or escaped."""
+    forms, out = [parent], []
+    if "%" in parent.text:
+        forms.append(decoded(parent, BYTE_PERCENT, percent_byte, 0, len(parent.text)))
+        if "+" in parent.text:
+            forms.append(decoded(parent, BYTE_FORM, form_byte, 0, len(parent.text)))
+    if "\\" in parent.text or "&#" in parent.text:
+        forms.append(decoded(parent, BYTE_ESCAPE, escape_byte, 0, len(parent.text)))
+    for form in forms:
+        for run in LATIN.finditer(form.text) if form is not None else ():
+            for start, end, content in streams(run[0].encode("latin-1"), max_layer):
+                first, last = form.origin(run.start() + start, run.start() + end)
+                out += [Layer(text, [0], [first], [last], [False]) for text in texts(content, max_layer)]
     return out
 
 
 def spans(text: str, max_layer: int = 64 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the text's own secrets, and of all with those of decoded layers; both sorted."""
     base = sorted(scan(text))
-    found, worklist, seen = set(base), [whole(text)], set()
+    found, worklist, seen, taken = set(base), [whole(text)], set(), set()
     while worklist:
         layer = worklist.pop()
         layers = []
@@ -232,7 +315,8 @@ def spans(text: str, max_layer: int = 64 << 20) -> tuple[list[tuple[int, int, in
         if "\\" in layer.text or "&#" in layer.text:
             layers += unescaped(layer, ESCAPE, escape_pieces)
         layers += in_context(layer)
-        layers += base64_layers(layer, max_layer)
+        layers += base64_layers(layer, max_layer, taken)
+        layers += compressed_layers(layer, max_layer)
         for new in layers:
             key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.first[0], new.last[-1])
             if key in seen:
