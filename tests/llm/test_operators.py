@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracequarry.llm import decontamination, ngram_scores, packing, quality, queries, secrets, simhash, substring_dedup, suffix_dedup, token_counts, topk
-from tracequarry.llm.common import pack, ranges, sliding_min, unpack
+from tracequarry.llm.common import pack, ranges, sliding_min, unpack, word_hashes
+from tracequarry.llm.repeats import Contexts, spread_buckets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, id string, bucket double, fp string, row int, spans string, x int"
 
@@ -92,8 +93,56 @@ def test_suffix_dedup(spark, corpus, chunk_bytes, hot):
 
 def test_suffix_dedup_of_repeated_and_nameless_rows(spark):
     text = "x" * 20 + "".join(map(chr, range(65, 120)))
-    got = suffix_dedup.suffix_dedup(frame(spark, [text, text, text, text[:49]], [3, 3, None, 9])).orderBy("doc_id").collect()
-    assert [(r.doc_id, len(r.kept)) for r in got] == [(3, 75), (3, 75), (9, 49)]
+    got = suffix_dedup.suffix_dedup(frame(spark, [text, text, text, text[:49], text, text], [3, 3, None, 9, 0, None])).orderBy("doc_id").collect()
+    assert [(r.doc_id, len(r.kept)) for r in got] == [(None, 75), (None, 75), (0, 75), (3, 0), (3, 0), (9, 49)]
+
+
+@pytest.mark.parametrize("length", [5, 122, 150, 200, 300])
+def test_suffix_dedup_of_other_lengths(spark, corpus, length):
+    ids = [7 * k % 101 for k in range(len(corpus))]
+    found = suffix_dedup.suffix_dedup(frame(spark, corpus, ids), length=length, chunk_bytes=60_000)
+    assert rows(suffix_dedup.digest(found)) == sorted(suffix_dedup.brute_force(list(zip(ids, corpus, strict=True)), length), key=repr)
+
+
+def thue_morse(n, a, b):
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+def test_words_that_collide_in_polynomials(spark):
+    """Thue-Morse words of 1,024 letters have equal polynomials modulo 2**64."""
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    around = " ".join(f"w{k}" for k in range(34))
+    texts = [f"{x} {around}", f"{y} {around}", f"{around} {x}", f"{around} {x}"]
+    ids = [1, 2, 3, 4]
+    got = substring_dedup.digest(substring_dedup.substring_dedup(frame(spark, texts, ids)))
+    want = substring_dedup.brute_force(list(zip(ids, texts, strict=True)))
+    assert rows(got) == sorted(want, key=repr) and [w[2] for w in want] == [0, 0, 35, 35]
+    known = {r.doc_id: r.n_known for r in ngram_scores.ngram_scores(frame(spark, [f"{x} one", f"{y} one"], [1, 2])).collect()}
+    assert known == {1: 1, 2: 1}
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    hashes = word_hashes(data, np.array([0, 1024]), np.array([1024, 2048]))
+    assert hashes[0] != hashes[1]
+
+
+def test_large_ids_beside_a_null_one(spark):
+    """Ids beyond 2**53 stay what they are."""
+    big = [(1 << 60) + 1, None, -(1 << 62) - 1, None]
+    texts = ["a b c d", "a b c d", "x y", None]
+    docs = frame(spark, texts, big)
+    every = (
+        ngram_scores.ngram_scores(docs), substring_dedup.substring_dedup(docs), suffix_dedup.suffix_dedup(docs), simhash.near_duplicates(docs), secrets.secret_scan(docs),
+        token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")), packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")),
+    )
+    for found in every:
+        assert sorted({r.doc_id for r in found.collect()}, key=repr) == sorted(set(big), key=repr)
+
+
+def test_buckets_are_even():
+    rng = random.Random(2)
+    text = np.frombuffer(prose(rng, 60_000, 5000).encode(), np.uint8)
+    contexts = Contexts(text, np.array([0, len(text)]), 50, 24)
+    sizes = np.bincount(spread_buckets(np.unique(contexts.key), 64), minlength=64)
+    assert sizes.max() < 2 * sizes.mean() and sizes.min() > 0
 
 
 def test_sort_by_hashes():

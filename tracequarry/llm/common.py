@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,14 +70,22 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return m if size == w else np.minimum(m[: len(x) - w + 1], m[w - size : w - size + len(x) - w + 1])
 
 
+_KINDS = ("u1", "u2", "u4", "u8", "i4", "i8", "f8")
+_HEAD = struct.Struct("<BII")  # kind (16 more: stored as it is), entries, bytes
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob; bytes of equal significance lie together."""
-    squeeze, parts = zstandard.ZstdCompressor(level=1), []
+    """Arrays as one blob; bytes of equal significance lie together and are compressed where that helps."""
+    squeeze, parts = zstandard.ZstdCompressor(level=1, write_content_size=False), []
     for a in arrays:
         a = np.ascontiguousarray(a)
         flat = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T if a.dtype.itemsize > 1 else a
-        data = squeeze.compress(np.ascontiguousarray(flat).tobytes())
-        parts.append(struct.pack("<4sqq", a.dtype.str[1:].encode(), len(a), len(data)) + data)
+        raw = np.ascontiguousarray(flat).tobytes()
+        data = squeeze.compress(raw) if len(raw) > 64 else raw
+        kind = _KINDS.index(a.dtype.str[1:])
+        if len(data) >= len(raw):
+            kind, data = kind | 16, raw
+        parts += (_HEAD.pack(kind, len(a), len(data)), data)
     return b"".join(parts)
 
 
@@ -84,10 +93,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     """The arrays of pack()."""
     expand, out, at = zstandard.ZstdDecompressor(), [], 0
     while at < len(blob):
-        kind, n, size = struct.unpack_from("<4sqq", blob, at)
-        at += 20
-        dtype = np.dtype(kind.rstrip(b"\0").decode())
-        raw = np.frombuffer(expand.decompress(blob[at : at + size], max_output_size=n * dtype.itemsize) if n else b"", np.uint8)
+        kind, n, size = _HEAD.unpack_from(blob, at)
+        at += _HEAD.size
+        dtype, data = np.dtype(_KINDS[kind & 15]), blob[at : at + size]
+        raw = np.frombuffer(data if kind & 16 else expand.decompress(data, max_output_size=n * dtype.itemsize), np.uint8)
         out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).reshape(n) if dtype.itemsize > 1 else raw.view(dtype))
         at += size
     return out
@@ -140,14 +149,18 @@ def text_bytes(rows: DataFrame) -> int:
 def chunked(rows: DataFrame, total_bytes: int, chunk_bytes: int) -> tuple[DataFrame, int]:
     """Rows (id, text) with a hash ``chunk``, of about chunk_bytes of text each; the number of chunks.
 
-    The chunk depends on the row alone, so that later phases and lost executors find the same one.
+    The chunk depends on the row alone, so that later phases and lost executors find the same one; on its
+    text too, so that rows with a null or frequent id spread.
     """
     n = max(1, -(-total_bytes // chunk_bytes))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n))), n
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n
 
 
 class Chunk:
-    """The texts of a chunk, in an order that any phase repeats, as one buffer."""
+    """The texts of a chunk, in an order that any phase repeats, as one buffer.
+
+    ``column`` holds the ids with their nulls; in ``ids``, where ``named`` is false, a null is 0.
+    """
 
     def __init__(self, table: pa.Table):
         pa.default_memory_pool().release_unused()
@@ -155,7 +168,8 @@ class Chunk:
         table = table.set_column(1, "text", pc.fill_null(table["text"], "").cast(pa.large_binary()))
         order = pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")])
         table = table.take(order).combine_chunks()
-        self.ids = table["id"].to_numpy()
+        self.column = table["id"].cast(pa.int64()).combine_chunks()
+        self.ids, self.named = pc.fill_null(self.column, 0).to_numpy(), pc.is_valid(self.column).to_numpy(zero_copy_only=False)
         texts = table["text"].combine_chunks()
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
         if len(self.ids):
@@ -168,13 +182,25 @@ class Chunk:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from the session's settings; a new one of its own only where none is set."""
+    """The folder that the cluster shares, from the session's settings.
+
+    Where none is set, a new one of its own, but only in a local session: elsewhere executors couldn't see it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """The rows, checkpointed in the shared folder, so that no later job makes them again."""
     shared_folder(rows.sparkSession)
@@ -195,13 +221,21 @@ def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, stops, np.searchsorted(starts, ends)
 
 
+#: Longer words are hashed by XXH64: there, polynomials modulo 2**64 have collisions by construction.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-    """The hash of each word, by prefix sums over the words' own bytes."""
+    """The hash of each word, by prefix sums over the words' own bytes; of long words, XXH64."""
     out = np.zeros(len(starts), U64)
     for at in range(0, len(starts), block):
         s, n = starts[at : at + block], stops[at : at + block] - starts[at : at + block]
-        first = np.cumsum(n) - n
-        local = ranges(np.zeros(len(n), np.int64), n)
-        sums = prefix_sums(BYTE_VALUES[data[local + np.repeat(s, n)]], local)
-        out[at : at + block] = sums[first + n] - sums[first]
-    return scramble(out)
+        short = np.where(n > LONG_WORD, 0, n)
+        first = np.cumsum(short) - short
+        local = ranges(np.zeros(len(n), np.int64), short)
+        sums = prefix_sums(BYTE_VALUES[data[local + np.repeat(s, short)]], local)
+        out[at : at + block] = sums[first + short] - sums[first]
+    out = scramble(out)
+    for i in np.flatnonzero(stops - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : stops[i]].tobytes(), 7)
+    return out

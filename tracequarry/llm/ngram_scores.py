@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.llm.common import U64, Chunk, chunked, cut, deltas, gram_hashes, id_and_text, pack, scramble, text_bytes, undeltas, unpack, word_hashes, word_spans
-from tracequarry.llm.repeats import BLOB, blobs, buckets_of, by_bucket, chunk_number
+from tracequarry.llm.repeats import BLOB, blobs, bucket_count, buckets_of, by_bucket, chunk_number
 
 ROUND = 1 << 40
+#: Text whose n-grams of a round one bucket holds on average.
+BUCKET = 16 << 20
 
 
 class Exploded:
@@ -77,8 +79,9 @@ class Exploded:
 def ngram_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_known (words whose longest n-gram is in the model) and score (mean natural logarithm per word) of every row."""
     rows, rounds = id_and_text(docs, id_col, text_col), max(1, order - 1)
-    rows, n = chunked(rows, text_bytes(rows), chunk_bytes)
-    buckets = 2 * n
+    total = text_bytes(rows)
+    rows, _ = chunked(rows, total, chunk_bytes)
+    buckets = bucket_count(total, BUCKET)
     by_chunk = lambda df: df.groupBy("chunk")
     pairs = lambda t: list(zip(t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True))
 
@@ -112,15 +115,15 @@ def ngram_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_coun
             shares = np.where(known, 0, shares)  # words that got as far as their share of all words
             longest = np.where(fits, known, longest)
         sums = [np.add.reduceat(np.r_[v, 0.0], np.minimum(x.ends[:-1], len(v))) * (np.diff(x.ends) > 0) if len(x.chunk.ids) else v for v in (log, shares, longest.astype(float))]
-        return pa.table({"doc_id": pa.array(x.chunk.ids, pa.int64(), from_pandas=True), "n_words": pa.array(np.diff(x.ends), pa.int64()), "log": pa.array(sums[0], pa.float64()), "shares": pa.array(sums[1].astype(np.int64), pa.int64()), "n_known": pa.array(sums[2].astype(np.int64), pa.int64())})
+        return pa.table({"doc_id": x.chunk.column, "n_words": pa.array(np.diff(x.ends), pa.int64()), "log": pa.array(sums[0], pa.float64()), "shares": pa.array(sums[1].astype(np.int64), pa.int64()), "n_known": pa.array(sums[2].astype(np.int64), pa.int64())})
 
     answered = by_chunk(rows).applyInArrow(lambda key, t: ask(key, t, [], 0), BLOB).groupBy("bucket").applyInArrow(answer, BLOB)
     for r in range(1, rounds):
         asked = by_chunk(rows).cogroup(by_chunk(answered)).applyInArrow(asking(r), BLOB)
         answered = answered.unionByName(asked.groupBy("bucket").applyInArrow(answer, BLOB))
     scored = cut(by_chunk(rows).cogroup(by_chunk(answered)).applyInArrow(score, "doc_id long, n_words long, log double, shares long, n_known long"))
-    total = scored.agg(F.sum("n_words")).first()[0] or 1
-    return scored.select("doc_id", "n_words", "n_known", F.when(F.col("n_words") > 0, (F.col("log") - F.col("shares") * math.log(total)) / F.col("n_words")).alias("score"))
+    words = scored.agg(F.sum("n_words")).first()[0] or 1
+    return scored.select("doc_id", "n_words", "n_known", F.when(F.col("n_words") > 0, (F.col("log") - F.col("shares") * math.log(words)) / F.col("n_words")).alias("score"))
 
 
 def digest(found: DataFrame) -> DataFrame:

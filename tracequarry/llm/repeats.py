@@ -8,10 +8,12 @@ context. Three rounds over chunks of documents:
 2. Each chunk sends the distinct contexts of shared keys to the keys' buckets, where an operator's
    own method decides which windows recur. Keys with very many contexts are split: there each window is
    a context of its own and goes where its own hash says, so that no group grows with the
-   corpus; equal contexts are merged before they are sent.
+   corpus; equal contexts are merged before they are sent, compared byte by byte.
 3. Each chunk applies the answers to its whole texts.
 
-Rows are packed arrays, never one row per window.
+A row is a packed array of what one chunk sends to one bucket. A key names its bucket by a hash of its
+own, since keys are minima and so small numbers. Buckets are as many as their memory asks for, and some
+at least, so that rows grow in proportion to the corpus until buckets do, and never beyond one per context.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from pyspark.sql import functions as F
 from tracequarry.llm.common import BYTE_VALUES, U64, Chunk, chunked, cut, deltas, gram_hashes, pack, powers, prefix_sums, ranges, scramble, sliding_min, text_bytes, undeltas, unpack
 
 BLOB = "chunk long, bucket long, data binary"
+#: Text whose keys, or contexts, one bucket holds on average; and buckets there are at least.
+KEY_BUCKET, CONTEXT_BUCKET, LEAST_BUCKETS = 32 << 20, 8 << 20, 64
+#: Windows of a context, which a mask of 64 bits can tell apart.
+MOST_WINDOWS = 63
 #: Contexts that are judged together, more only if one key has more.
 PIECE = 4096
 
@@ -70,6 +76,9 @@ class Contexts:
             return
         change = np.flatnonzero(np.r_[(place[1:] != place[:-1]) | (ok[1:] != ok[:-1]), True])
         last = change[np.searchsorted(change, first)]
+        if (pieces := (last - first) // MOST_WINDOWS + 1).max() > 1:
+            first, last = np.repeat(first, pieces) + ranges(np.zeros(len(pieces), np.int64), pieces) * MOST_WINDOWS, np.repeat(last, pieces)
+            last = np.minimum(last, first + MOST_WINDOWS - 1)
         count = last - first + 1
         end = last + length
         content = scramble((sums[end] - sums[first]) * inverse[first])
@@ -107,10 +116,19 @@ def _stretches(starts: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
 
 
 def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each key: equal ranges of the hash, so that sorted keys of a bucket lie together."""
+    """The bucket of each evenly spread key: equal ranges, so that sorted keys of a bucket lie together."""
     return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
+def spread_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, whatever the keys' distribution."""
+    return buckets_of(scramble(keys ^ U64(0x2545F4914F6CDD1D)), buckets)
+
+
+def bucket_count(total_bytes: int, bytes_each: int) -> int:
+    return max(LEAST_BUCKETS, -(-total_bytes // bytes_each))
+
+
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(bucket, rows) of a sorted array."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -134,11 +152,13 @@ class Repeats:
     A key with ``hot_contexts`` contexts in the corpus is split by window: what a decision needs
     for so many contexts bounds a task's memory.
 
-    ``symbols(chunk)`` gives (values, ends of documents in symbols, anything ``context_bytes`` needs).
+    ``symbols(chunk)`` gives (values, ends of documents in symbols, anything ``context_spans`` needs);
+    ``context_spans`` where the contexts' bytes start and end; ``same`` whether two contexts' bytes, if
+    they differ, hold the same symbols.
     """
 
-    def __init__(self, length: int, k: int, symbols: Callable, context_bytes: Callable, across: bool, decide: Callable, apply: Callable, schema: str, hot_contexts: int):
-        self.length, self.k, self.symbols, self.context_bytes, self.across = length, k, symbols, context_bytes, across
+    def __init__(self, length: int, k: int, symbols: Callable, context_spans: Callable, same: Callable, across: bool, decide: Callable, apply: Callable, schema: str, hot_contexts: int):
+        self.length, self.k, self.symbols, self.context_spans, self.same, self.across = length, k, symbols, context_spans, same, across
         self.decide, self.apply, self.schema, self.hot_contexts = decide, apply, schema, hot_contexts
 
     def keys(self, contexts: Contexts, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,9 +170,10 @@ class Repeats:
         stops = np.r_[starts[1:], len(key)] - 1 if len(starts) else starts
         return key[starts], (own[starts] != own[stops]) if self.across else stops > starts, stops - starts + 1
 
-    def run(self, rows: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
-        rows, n = chunked(rows, text_bytes(rows), chunk_bytes)
-        small, large = n, 2 * n  # buckets for keys, for contexts
+    def run(self, rows: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
+        total = text_bytes(rows)
+        rows, _ = chunked(rows, total, chunk_bytes)
+        small, large = bucket_count(total, KEY_BUCKET), bucket_count(total, CONTEXT_BUCKET)
 
         copies = self.copies(rows) if self.across else None
 
@@ -161,15 +182,18 @@ class Repeats:
             values, ends, extra = self.symbols(chunk)
             contexts = Contexts(values, ends, self.length, self.k)
             owner = np.searchsorted(ends[1:], contexts.start, side="right")
-            if (copy := self.copied(chunk, notes)).any():
-                kept = np.flatnonzero(~copy[owner])
+            if self.across and (idle := self.copied(chunk, notes) | ~chunk.named).any():
+                kept = np.flatnonzero(~idle[owner])
                 contexts, owner = contexts.take(kept), owner[kept]
             return chunk, values, ends, extra, contexts, owner
 
         def ask(key, table, notes=None):
             _, _, _, _, contexts, owner = prepare(table, notes)
             keys, _, times = self.keys(contexts, owner)
-            return blobs([(chunk_number(key), b, pack(deltas(keys[s]), np.minimum(times[s], 65_535).astype(np.uint16))) for b, s in by_bucket(buckets_of(keys, small))])
+            bucket = spread_buckets(keys, small)
+            order = np.argsort(bucket, kind="stable")
+            keys, times = keys[order], np.minimum(times[order], 65_535).astype(np.uint16)
+            return blobs([(chunk_number(key), b, pack(deltas(keys[s]), times[s])) for b, s in by_bucket(bucket[order])])
 
         def answer(table):
             chunks, bucket = table["chunk"].to_pylist(), table["bucket"][0].as_py()
@@ -187,7 +211,9 @@ class Repeats:
             answers = answers.filter(pc.greater_equal(answers["bucket"], 0))
             order = np.argsort(answers["bucket"].to_numpy()) if answers.num_rows else []
             data = answers["data"]
-            flags = np.concatenate([unpack(data[int(i)].as_py())[0] for i in order]) if len(order) else np.zeros(0, np.uint8)
+            flags = np.zeros(len(keys), np.uint8)
+            if len(order):
+                flags[np.argsort(spread_buckets(keys, small), kind="stable")] = np.concatenate([unpack(data[int(i)].as_py())[0] for i in order])
             flag = np.maximum(flags, local)[np.searchsorted(keys, contexts.key)] if len(keys) else np.zeros(0, np.uint8)
             plain, hot = contexts.take(np.flatnonzero(flag == 1)), contexts.by_window(np.flatnonzero(flag == 2), values)
             out = []
@@ -242,34 +268,34 @@ class Repeats:
         out = np.zeros(len(chunk.ids), bool)
         if notes is not None and (told := set(notes.filter(pc.less(notes["bucket"], 0))["data"].to_pylist())):
             known = {t[:8] for t in told}
-            for d, i in enumerate(chunk.ids.tolist()):
+            for d, (i, named) in enumerate(zip(chunk.ids.tolist(), chunk.named.tolist(), strict=True)):
                 name = (i & (1 << 64) - 1).to_bytes(8, "big")
-                if name in known:
+                if named and name in known:
                     out[d] = name + hashlib.sha256(chunk.bytes[chunk.ends[d] : chunk.ends[d + 1]]).digest() in told
         return out
 
     def parcels(self, number: int, chunk: Chunk, c: Contexts, owner: np.ndarray, values: np.ndarray, extra, buckets: int) -> list[tuple[int, int, bytes]]:
         """The distinct contexts with their places, packed for each bucket."""
-        order = np.lexsort((owner, c.anchor, c.count, c.content, c.key))
-        c, owner = c.take(order), owner[order]
+        bucket = spread_buckets(c.key, buckets)
+        order = np.lexsort((owner, c.anchor, c.count, c.content, c.key, bucket))
+        c, owner, bucket = c.take(order), owner[order], bucket[order]
         same = (c.key[1:] == c.key[:-1]) & (c.content[1:] == c.content[:-1]) & (c.count[1:] == c.count[:-1]) & (c.anchor[1:] == c.anchor[:-1])
-        pairs = np.flatnonzero(same)
-        good, lengths = np.ones(len(pairs), bool), c.count[pairs] + c.length - 1
-        for k in range(int(lengths.max(initial=0))):  # equal hashes are not enough
-            inside = np.flatnonzero(k < lengths)
-            good[inside] &= values[c.start[pairs[inside]] + k] == values[c.start[pairs[inside] + 1] + k]
-        same[pairs[~good]] = False
+        begin, end = self.context_spans(c, extra)
+        raw = chunk.bytes.tobytes()
+        for i in np.flatnonzero(same).tolist():  # equal hashes are not enough
+            x, y = raw[begin[i] : end[i]], raw[begin[i + 1] : end[i + 1]]
+            if x != y and not self.same(x, y):
+                same[i] = False
         first = np.flatnonzero(np.r_[True, ~same])
         places = np.diff(np.r_[first, len(c.start)])
-        one = c.take(first)
-        lengths, data = self.context_bytes(chunk, one, extra)
-        data_at, place_at = np.r_[0, np.cumsum(lengths)], np.r_[first, len(c.start)]
+        one, begin, lengths = c.take(first), begin[first], (end - begin)[first]
+        place_at = np.r_[first, len(c.start)]
         least = chunk.ids[owner[first]]
         own = (chunk.ids[owner] == np.repeat(least, places)).astype(np.uint8)
         out = []
-        for b, s in by_bucket(buckets_of(one.key, buckets)):
-            p, d = slice(place_at[s.start], place_at[s.stop]), slice(data_at[s.start], data_at[s.stop])
-            out.append((number, b, pack(deltas(one.key[s]), one.anchor[s].astype(np.uint8), one.count[s].astype(np.uint8), least[s], places[s].astype(np.uint32), lengths[s].astype(np.uint32), c.start[p].astype(np.uint32), own[p], data[d])))
+        for b, s in by_bucket(bucket[first]):
+            p, data = slice(place_at[s.start], place_at[s.stop]), chunk.bytes[ranges(begin[s], lengths[s])]
+            out.append((number, b, pack(deltas(one.key[s]), one.anchor[s].astype(np.uint16), one.count[s].astype(np.uint8), least[s], places[s].astype(np.uint32), lengths[s].astype(np.uint32), c.start[p].astype(np.uint32), own[p], data)))
         return out
 
     def judged(self, table: pa.Table) -> list[tuple[int, int, bytes]]:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import U64, Chunk, id_and_text, ranges, word_hashes, word_spans
-from tracequarry.llm.repeats import Contexts, Repeats, full
+from tracequarry.llm.common import U64, Chunk, id_and_text, word_hashes, word_spans
+from tracequarry.llm.repeats import Contexts, Repeats
 from tracequarry.llm.suffix_dedup import runs
 
 SCHEMA = "doc_id long, n_words long, spans array<long>, kept string"
@@ -37,10 +37,10 @@ class Automaton:
     """A suffix automaton of weighted strings of symbols; strings are kept apart by starting anew at the root."""
 
     def __init__(self):
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict] = [{}]
         self.link, self.length, self.weight = [-1], [0], [0]
 
-    def add(self, symbols: list[int], weight: int) -> None:
+    def add(self, symbols: list, weight: int) -> None:
         nexts, link, length, weights = self.next, self.link, self.length, self.weight
         last = 0
         for c in symbols:
@@ -66,7 +66,7 @@ class Automaton:
                 link[cur] = q if length[p] + 1 == length[q] else self._clone(p, q, c)
             last = cur
 
-    def _clone(self, p: int, q: int, c: int) -> int:
+    def _clone(self, p: int, q: int, c) -> int:
         nexts, link, length = self.next, self.link, self.length
         new = len(nexts)
         nexts.append(nexts[q].copy())
@@ -86,7 +86,7 @@ class Automaton:
             if link[s] > 0:
                 weight[link[s]] += weight[s]
 
-    def recurring(self, symbols: list[int], least: int) -> int:
+    def recurring(self, symbols: list, least: int) -> int:
         """A mask of the windows of ``least`` symbols that occur with weight 2 or more."""
         nexts, link, length, weight = self.next, self.link, self.length, self.weight
         state = matched = mask = 0
@@ -108,45 +108,31 @@ class Automaton:
 def decide(length, key, anchor, count, least, places, lengths, data):
     """Masks of windows that occur more than once, equal for all places of a context."""
     ends, raw = np.cumsum(lengths), data.tobytes()
-    words = [tuple(raw[a:b].split()) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
     own = np.zeros(len(key), U64)
-    everything = full(count)
     order = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
-    shard: Counter = Counter()
-    members: dict[tuple, list[int]] = {}
+    cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True]).tolist()
+    first, last, times, order = (ends - lengths).tolist(), ends.tolist(), places.tolist(), order.tolist()
+    shard: list[tuple[int, list[bytes]]] = []
 
     def settle():
-        automaton, symbol = Automaton(), {}
-        coded = {w: [symbol.setdefault(x, len(symbol)) for x in w] for w in shard}
-        for w, s in coded.items():
-            automaton.add(s, shard[w])
+        automaton = Automaton()
+        for i, words in shard:
+            automaton.add(words, times[i])
         automaton.count()
-        for w, s in coded.items():
-            if shard[w] == 1:
-                own[members[w]] = automaton.recurring(s, length)
+        for i, words in shard:
+            own[i] = automaton.recurring(words, length)
         shard.clear()
-        members.clear()
 
     size = 0
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        group: Counter = Counter()
-        for i in order[a:b].tolist():
-            group[words[i]] += int(places[i])
-        for i in order[a:b].tolist():
-            if group[words[i]] > 1:
-                own[i] = everything[i]  # a whole context that occurs again
-        if len(group) > 1:
-            for i in order[a:b].tolist():
-                members.setdefault(words[i], []).append(i)
-            for w, n in group.items():
-                shard[w] = max(shard[w], n)
-            size += sum(map(len, group))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > 1 or times[order[a]] > 1:  # a context that is alone has no window twice: its windows start at different places of one anchor
+            for i in order[a:b]:
+                shard.append((i, raw[first[i] : last[i]].split()))
+                size += len(shard[-1][1])
             if size > AUTOMATON_WORDS:
                 settle()
                 size = 0
-    if shard:
-        settle()
+    settle()
     return own, own
 
 
@@ -155,10 +141,9 @@ def word_symbols(chunk: Chunk):
     return word_hashes(chunk.bytes, starts, stops), ends, (starts, stops)
 
 
-def word_contexts(chunk: Chunk, contexts: Contexts, extra):
+def word_byte_spans(contexts: Contexts, extra):
     starts, stops = extra
-    first, last = starts[contexts.start], stops[contexts.start + contexts.count + contexts.length - 2]
-    return last - first, chunk.bytes[ranges(first, last - first)]
+    return starts[contexts.start], stops[contexts.start + contexts.count + contexts.length - 2]
 
 
 def removed(chunk: Chunk, ends: np.ndarray, extra, covered: np.ndarray) -> pa.Table:
@@ -169,13 +154,13 @@ def removed(chunk: Chunk, ends: np.ndarray, extra, covered: np.ndarray) -> pa.Ta
         part = covered[a:b]
         spans.append(runs(part).tolist() if part.any() else [])
         kept.append(b" ".join(w for w, gone in zip(words, part.tolist(), strict=True) if not gone) if spans[-1] else b" ".join(words))
-    return pa.table({"doc_id": pa.array(chunk.ids, pa.int64(), from_pandas=True), "n_words": pa.array(np.diff(ends), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+    return pa.table({"doc_id": chunk.column, "n_words": pa.array(np.diff(ends), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
 def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, spans (removed ranges of words, [first, end) flattened), kept (the other words, joined by a space) of every row."""
     rows = id_and_text(docs, id_col, text_col)
-    return Repeats(length, max(1, (length + 1) // 3), word_symbols, word_contexts, False, decide, removed, SCHEMA, hot_contexts).run(rows, chunk_bytes)
+    return Repeats(length, max(1, (length + 1) // 3), word_symbols, word_byte_spans, lambda x, y: x.split() == y.split(), False, decide, removed, SCHEMA, hot_contexts).run(rows, chunk_bytes)
 
 
 def digest(found: DataFrame) -> DataFrame:

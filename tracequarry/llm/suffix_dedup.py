@@ -6,8 +6,8 @@ are known by their hash before, and only one of them sends windows. In a bucket,
 binary search over prefix polynomial hashes, in logarithmic steps; neighbours that extend over the
 whole window are then compared byte by byte, so that a collision of hashes decides nothing.
 
-Null texts are empty. Rows with a null id take no part, since nothing says whose id is smaller.
-Rows with the same id never remove each other's bytes. An empty table gives an empty result. Other
+Null texts are empty. Rows with a null id are returned whole and remove nothing, since nothing says
+whose id is smaller. Rows with the same id never remove each other's bytes. An empty table gives an empty result. Other
 columns are not read.
 """
 
@@ -168,9 +168,8 @@ def byte_symbols(chunk: Chunk):
     return chunk.bytes, chunk.ends, None
 
 
-def byte_contexts(chunk: Chunk, contexts: Contexts, _):
-    lengths = contexts.count + contexts.length - 1
-    return lengths, chunk.bytes[ranges(contexts.start, lengths)]
+def byte_spans(contexts: Contexts, _):
+    return contexts.start, contexts.start + contexts.count + contexts.length - 1
 
 
 def runs(covered: np.ndarray) -> np.ndarray:
@@ -184,13 +183,13 @@ def removed(chunk: Chunk, ends: np.ndarray, _, covered: np.ndarray) -> pa.Table:
         part = covered[a:b]
         spans.append(runs(part).tolist() if part.any() else [])
         kept.append((chunk.bytes[a:b][~part] if spans[-1] else chunk.bytes[a:b]).tobytes())
-    return pa.table({"doc_id": pa.array(chunk.ids, pa.int64()), "n_bytes": pa.array(np.diff(ends), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
+    return pa.table({"doc_id": chunk.column, "n_bytes": pa.array(np.diff(ends), pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS, chunk_bytes: int = 4 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, [first, end) flattened), kept (the other bytes) of every row."""
-    rows = id_and_text(docs, id_col, text_col).where("id is not null")
-    return Repeats(length, max(1, length // 2 - 1), byte_symbols, byte_contexts, True, decide, removed, SCHEMA, hot_contexts).run(rows, chunk_bytes)
+    rows = id_and_text(docs, id_col, text_col)
+    return Repeats(length, max(1, length // 2 - 1), byte_symbols, byte_spans, lambda x, y: False, True, decide, removed, SCHEMA, hot_contexts).run(rows, chunk_bytes)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -203,13 +202,13 @@ def brute_force(docs: list[tuple[int, str | None]], length: int = 50) -> list[tu
     texts = [(d, (t or "").encode()) for d, t in docs]
     least: dict[bytes, int] = {}
     for d, t in texts:
-        for k in range(len(t) - length + 1):
+        for k in range(len(t) - length + 1 if d is not None else 0):
             w = t[k : k + length]
             least[w] = min(least.get(w, d), d)
     out = []
     for d, t in texts:
         gone = np.zeros(len(t), bool)
-        for k in range(len(t) - length + 1):
+        for k in range(len(t) - length + 1 if d is not None else 0):
             if least[t[k : k + length]] < d:
                 gone[k : k + length] = True
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
