@@ -402,9 +402,66 @@ def test_simhash(spark, corpus):
     least = {c: min(d for d, x in zip(ids, label, strict=True) if x == c and d is not None) for c in set(label.tolist())}
     want = sorted(((d, f"{int(p):016x}", least[c]) for d, p, c in zip(ids, prints, label.tolist(), strict=True)), key=repr)
     assert sorted(map(tuple, got), key=repr) == want
-    kept = simhash.representatives(frame(spark, texts, ids))
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([*least.values(), None], key=repr)
-    assert simhash.representatives(frame(spark, ["a b c"] * 3, [4, 4, 7])).count() == 1
+
+
+def edited(rng, text, edits):
+    words = text.split()
+    for k in rng.sample(range(len(words)), edits):
+        words[k] = f"edit{rng.random()}"
+    return " ".join(words)
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("most", [4096, 5])
+def test_similar_texts(spark, most):
+    """Pairs of a similarity of 0.8 or more become one, unlike texts stay apart."""
+    rng = random.Random(11)
+    texts = [prose(rng, 300, 20_000) for _ in range(150)]
+    copies = [edited(rng, t, 1 + k % 7) for k, t in enumerate(texts[:100])]
+    close = [k for k, c in enumerate(copies) if jaccard(c, texts[k]) >= 0.8]
+    assert 80 < len(close)
+    found = {r.id: r.root for r in simhash.similar(frame(spark, texts + copies), most=most).collect()}
+    assert sum(found[k] == found[150 + k] for k in close) >= 0.9 * len(close)
+    assert len({bytes(found[k]) for k in range(150)}) == 150
+
+
+def test_representatives_are_rows(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 80, 20_000) for _ in range(3))
+    kept = lambda texts, ids: sorted(((r.doc_id, r.text) for r in simhash.representatives(frame(spark, texts, ids).withColumn("__id", F.lit(1)).withColumn("digest", F.lit(2))).collect()), key=repr)
+    assert kept([a, b, c], [3, 3, 5]) == sorted([(3, a), (3, b), (5, c)])
+    assert kept([a, a, b], [3, 5, 5]) == sorted([(3, a), (5, b)])
+    assert kept([a, a, a, b, b], [4, 4, 7, 2, 2]) == sorted([(4, a), (2, b)])
+    assert kept([a, a, b, None, "", " "], [None, 9, None, 5, 6, None]) == sorted([(9, a), (None, b), (5, None)], key=repr)
+    assert kept([], []) == []
+    docs = frame(spark, [a] * 2, [1, 1]).withColumn("x", F.monotonically_increasing_id())
+    assert simhash.representatives(docs).columns == docs.columns and simhash.representatives(docs).count() == 1
+    assert simhash.representatives(frame(spark, [a, a, b], [3, 5, 5]), broadcast_rows=0).count() == 2
+
+
+def test_layout_keeps_its_recall():
+    assert simhash.layout(1000, 0.8, 0.9)[0] == 2
+    for n in (1000, 1 << 28, 1 << 36):
+        width, words = simhash.layout(n, 0.8, 0.9)
+        assert n / 256**width <= 1024 and 1 - (1 - (1 - simhash.differing_share(0.8)) ** (8 * width)) ** (8 * words // width) >= 0.9
+
+
+def test_links_under_frequent_keys(spark):
+    """Splitting a frequent key finer loses no link."""
+    rng = np.random.default_rng(7)
+    near = np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 20, 600).astype(np.uint64))
+    fps = np.unique(np.r_[near, rng.integers(0, 1 << 63, 300, dtype=np.uint64)])
+    distinct = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3)
+    want = simhash.components(len(fps), i, j)
+    for most in (4096, 20):
+        labels = {r.node: r.root for r in simhash.contracted(simhash.links(distinct, len(fps), 3, 6, most)).collect()}
+        got = [labels.get(f, f) for f in fps.view(np.int64).tolist()]
+        assert len(set(zip(got, want.tolist(), strict=True))) == len(set(got)) == len(set(want.tolist()))
 
 
 @pytest.mark.parametrize("size", [50, 5000])
@@ -413,9 +470,9 @@ def test_links_in_large_groups(size):
     near = np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 40, size).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, size).astype(np.uint64))
     spread = rng.integers(0, 1 << 32, size, dtype=np.uint64) | np.uint64(0xABCDEF) << np.uint64(40)
     fps = np.unique(np.r_[near, spread])
-    a, b = simhash.stars(np.zeros(len(fps), np.int64), fps.view(np.int64), 3)
     order = np.sort(fps.view(np.int64))
-    got = simhash.components(len(order), np.searchsorted(order, a), np.searchsorted(order, b))
+    a, b = simhash.stars(np.zeros(len(order), np.int64), np.arange(len(order)), order.view(np.uint64)[:, None], 3)
+    got = simhash.components(len(order), a, b)
     pairs = [np.nonzero(np.bitwise_count(order[k : k + 500].view(np.uint64)[:, None] ^ order.view(np.uint64)[None]) <= 3) for k in range(0, len(order), 500)]
     want = simhash.components(len(order), np.concatenate([p[0] + 500 * k for k, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs]))
     assert got.tolist() == want.tolist()

@@ -4,8 +4,14 @@ A fingerprint has 64 bits; each is 1 if it is set in over half of the XXH64 hash
 text's word shingles, repeats included. Two fingerprints that differ in at most ``distance`` bits
 agree in at least ``blocks - distance`` of the blocks that the bits are split into, so that every
 close pair meets under some choice of that many blocks. Distinct fingerprints meet there, never
-documents: copies cost nothing. Each meeting is verified bit by bit and gives a spanning star of the
-linked fingerprints instead of all pairs; components follow by contraction, one shuffle a round.
+documents: copies cost nothing. A choice that very many fingerprints share is split by the same rule
+over the bits it leaves free, so that no group holds more than a few thousand. Each meeting is
+verified bit by bit and gives a spanning star of the linked fingerprints instead of all pairs;
+components follow by contraction, one shuffle a round.
+
+``similar`` links texts by similarity, for which 64 bits are too few: its fingerprints have as many
+words of 64 bits, with other hashes each, as it takes for close pairs to share a block, and pairs are
+verified over 512 bits.
 
 Null and empty texts have fingerprint zero, linked like any other; texts of fewer words than a
 shingle hash the whole sequence. Rows with a null id keep it, and never name a component. Repeated
@@ -14,6 +20,7 @@ rows are returned each. An empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import U64, cut, id_and_text, slices, texts_as_bytes
+from tracequarry.llm.common import U64, cut, id_and_text, scramble, slices, texts_as_bytes
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -36,12 +43,23 @@ def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
     return np.fromiter((one(g, seed) for g in grams), U64, n)
 
 
-def fingerprint_of(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += part.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+#: Fingerprints under one key that are compared with each other.
+GROUP = 4096
+#: Bytes of a long fingerprint that verify a pair.
+CHECK = 64
+
+
+def fingerprint_of(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The words of a fingerprint; those after the first see the hashes scrambled anew."""
+    out = np.zeros(words, np.int64)
+    for w in range(words):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at : at + (1 << 16)]
+            part = scramble(part ^ U64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if w else part
+            ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]
+    return out
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,7 +67,7 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
 
     def made(batches):
         for batch in slices(batches):
-            fps = [fingerprint_of(shingle_hashes(t, size, seed)) for t in texts_as_bytes(batch["text"])]
+            fps = [int(fingerprint_of(shingle_hashes(t, size, seed))[0]) for t in texts_as_bytes(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(fps, pa.int64())], ["id", "fp"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(made, "id long, fp long")
@@ -78,74 +96,87 @@ def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def stars(key: np.ndarray, fp: np.ndarray, distance: int, spare: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (member, smallest member) that span the fingerprints linked under an equal key."""
-    nodes, node = np.unique(fp, return_inverse=True)
-    order = np.lexsort((fp, key))
-    key, node, fp = key[order], node[order], fp[order].view(U64)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+def stars(key: np.ndarray, node: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (member, smallest member) that span the nodes linked under an equal key; ``bits`` holds each node's words."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(key)])
-    found_i, found_j, pending = [], [], 0
+    found_i, found_j, pending = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
     def add(i, j):
         nonlocal pending
-        found_i.append(node[i])
-        found_j.append(node[j])
+        found_i.append(i)
+        found_j.append(j)
         pending += len(i)
         if pending > 2_000_000:  # keep only a spanning star of what was found so far
             squeeze()
 
     def squeeze():
         nonlocal pending
-        label = components(len(nodes), np.concatenate(found_i), np.concatenate(found_j))
-        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        label = components(len(bits), np.concatenate(found_i), np.concatenate(found_j))
+        moved = np.flatnonzero(label != np.arange(len(bits)))
         found_i[:], found_j[:], pending = [moved], [label[moved]], 0
 
+    differing = lambda x, y: np.bitwise_count(bits[x] ^ bits[y]).sum(axis=-1, dtype=np.int64)
     small = sizes[np.repeat(np.arange(len(sizes)), sizes)] <= 64
     for step in range(1, int(min(64, sizes.max(initial=0)))):
         i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
         if not len(i):
             break
-        near = np.bitwise_count(fp[i] ^ fp[i + step]) <= distance
-        add(i[near], i[near] + step)
+        i = i[differing(node[i], node[i + step]) <= distance]
+        add(node[i], node[i + step])
     for s, g in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        if g > 4096 and spare is None:
-            # the equal bits of a large group are known; the others are split again, finer
-            same = ~np.bitwise_or.reduce(fp[s : s + g] ^ fp[s])
-            free = [b for b in range(64) if not int(same) >> b & 1]
-            parts = max(distance + 1, 2 * distance + 2)
-            for chosen in combinations(range(parts), parts - distance):
-                mask = sum(1 << b for p in chosen for b in free[p::parts])
-                a, b = stars((fp[s : s + g] & U64(mask)).view(np.int64), fp[s : s + g].view(np.int64), distance, [])
-                found_i.append(np.searchsorted(nodes, a))
-                found_j.append(np.searchsorted(nodes, b))
-                pending += len(a)
-            squeeze()
-            continue
-        for at in range(s, s + g, 512):
-            rows = np.arange(at, min(at + 512, s + g))
-            i, j = np.nonzero(np.bitwise_count(fp[rows][:, None] ^ fp[None, at : s + g]) <= distance)
+        for at in range(s, s + g, 128):
+            rows = np.arange(at, min(at + 128, s + g))
+            i, j = np.nonzero(differing(node[rows][:, None], node[None, at : s + g]) <= distance)
             keep = rows[i] < at + j
-            add(rows[i][keep], at + j[keep])
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            add(node[rows[i][keep]], node[at + j[keep]])
     squeeze()
-    return nodes[found_i[0]], nodes[found_j[0]]
+    return found_i[0], found_j[0]
 
 
-def links(distinct: DataFrame, count: int, distance: int, blocks: int, per_bucket: int = 200_000) -> DataFrame:
-    """(a, b): for each bucket of block keys, a spanning star of the linked fingerprints."""
-    chosen = masks(blocks, blocks - distance)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(chosen)))
-    buckets = max(1, -(-count * len(chosen) // per_bucket))
-    rows = distinct.select("fp", F.explode(keys).alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+def starred(rows: DataFrame, count: int, distance: int, kind: str, per_bucket: int = 200_000) -> DataFrame:
+    """(a, b): spanning stars of the fingerprints fp that are linked under an equal ``key``, by buckets of keys."""
+    rows = rows.select("fp", "key", F.pmod("key", F.lit(max(1, -(-count // per_bucket)))).alias("bucket"))
 
     def linked(table: pa.Table) -> pa.Table:
-        a, b = stars(table["key"].to_numpy(), table["fp"].to_numpy(), distance)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        found = table["fp"].combine_chunks().dictionary_encode()
+        nodes, node = found.dictionary, found.indices.to_numpy().astype(np.int64)
+        raw = nodes.to_numpy() if kind == "long" else np.frombuffer(b"".join(nodes.to_pylist()), np.int64)
+        a, b = stars(table["key"].to_numpy(), node, raw.view(U64).reshape(len(nodes), -1), distance)
+        return pa.table({"a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b))})
 
-    return rows.groupBy("bucket").applyInArrow(linked, "a long, b long")
+    return rows.groupBy("bucket").applyInArrow(linked, f"a {kind}, b {kind}")
+
+
+def frequent(rows: DataFrame, most: int) -> DataFrame | None:
+    """(key, n) of the keys that more than ``most`` rows have; None if there are none."""
+    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    return None if hot.isEmpty() else hot
+
+
+def links(distinct: DataFrame, count: int, distance: int, blocks: int, most: int = GROUP) -> DataFrame:
+    """(a, b): spanning stars of the fingerprints fp that differ in at most ``distance`` bits.
+
+    The fingerprints of a frequent key agree in its blocks, so that their other bits are split into
+    ``2 * distance + 2`` blocks of which ``distance + 2`` agree: there, few bits are left to differ.
+    """
+    chosen = masks(blocks, blocks - distance)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masked = F.array(*(F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("key")) for k, m in enumerate(chosen)))
+    rows = distinct.select("fp", F.explode(masked).alias("x")).select("fp", "x.k", "x.key")
+    if (hot := frequent(rows, most)) is None:
+        return starred(rows, count * len(chosen), distance, "long")
+    finer = []
+    for m in chosen:
+        free, parts = [b for b in range(64) if not m >> b & 1], 2 * distance + 2
+        finer.append([signed(m | sum(1 << b for p in some for b in free[p::parts])) for some in combinations(range(parts), distance + 2)])
+    of_mask = F.element_at(F.array(*(F.array(*map(F.lit, f)) for f in finer)), F.col("k") + 1)
+    keys = F.transform(of_mask, lambda m: F.xxhash64(F.lit(-1), F.col("k"), m, F.col("fp").bitwiseAND(m)))
+    marked = rows.join(hot, "key", "left")
+    split = marked.where("n is not null").select("fp", F.explode(keys).alias("key"))
+    return starred(marked.where("n is null").select("fp", "key").unionByName(split), count * len(chosen), distance, "long")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -187,18 +218,78 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, distance: in
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows, with all their columns, of the document with the smallest id of each component.
+def differing_share(similarity: float) -> float:
+    """The share of bits in which fingerprints of texts differ whose shingles have a Jaccard similarity: the angle between them."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def layout(count: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Bytes of a block and words of a fingerprint, for a number of texts.
+
+    Blocks are as wide as it takes for unrelated texts to share one rarely, and as many as it takes for
+    a pair of exactly that similarity to share one with the probability ``recall``.
+    """
+    width = 2
+    while count >> 8 * width > 1024:
+        width += 1
+    shared = (1 - differing_share(similarity)) ** (8 * width)
+    return width, max(CHECK, math.ceil(math.log(1 - recall) / math.log1p(-shared)) * width) // 8 + 1
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most: int = GROUP) -> DataFrame:
+    """(id, digest, root) of every row: the MD5 of its text, and a fingerprint that is the same for texts that links connect.
+
+    Linked are texts that share a block and differ, over 512 bits, in at most one standard deviation
+    more bits than texts of that similarity are expected to. Keys that more than ``most`` fingerprints
+    share are salted: such dense groups stay connected through their many other keys.
+    """
+    source = id_and_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    width, words = layout(docs.count(), similarity, recall)
+    share = differing_share(similarity)
+    distance = int(8 * CHECK * share + math.sqrt(8 * CHECK * share * (1 - share)))
 
-    Rows with a null id can't be named and all stay. Of rows that repeat such an id, one stays.
+    def made(batches):
+        for batch in slices(batches):
+            fps = [fingerprint_of(shingle_hashes(t, size, seed), words).tobytes() for t in texts_as_bytes(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(fps, pa.binary())], ["id", "digest", "long"])
+
+    rows = cut(source.mapInArrow(made, "id long, digest binary, long binary")).withColumn("fp", F.substring("long", 1, CHECK))
+    distinct = rows.groupBy("fp").agg(F.min("long").alias("long"))
+    blocks = 8 * words // width
+    keyed = cut(distinct.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("long", width * k + 1, width)) for k in range(blocks)))).alias("key")))
+    if (hot := frequent(keyed, most)) is not None:
+        salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("fp", "key"), F.floor(F.col("n") / most) + 1))
+        keyed = keyed.join(hot, "key", "left").select("fp", F.when(salt.isNull(), F.col("key")).otherwise(F.xxhash64("key", salt)).alias("key"))
+    labels = contracted(starred(keyed, keyed.count(), distance, "binary"))
+    rows = rows.select("id", "digest", "fp")
+    return rows.withColumnRenamed("fp", "root") if labels is None else rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("id", "digest", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 400_000, **parameters) -> DataFrame:
+    """One row, with all its columns, of each group of ``similar`` texts: that with the smallest id, then text hash.
+
+    Rows are told apart by id and text, so that an id may occur on different texts; a null id comes
+    after all others. Of rows with equal id and text, one stays. The keys of the rows that go are
+    broadcast if they are few (a checked bound), else joined.
     """
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters))
-    named = docs[id_col].cast("long")
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = docs.join(first.select("doc_id").toDF("__id"), named == F.col("__id"), "left_semi")
-    if not first.where("times > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(named.isNull())) if not found.where("doc_id is null").isEmpty() else kept
+    found = cut(similar(docs, id_col=id_col, text_col=text_col, **parameters))
+    order = F.struct(F.col("id").isNull().alias("n"), "id", "digest")
+    keys = cut(found.groupBy("root", "id", "digest").agg(F.count("*").alias("times")))
+    first = keys.groupBy("root").agg(F.min(order).alias("first"))
+    judged = cut(keys.join(first, "root").select("id", "digest", "times", (order == F.col("first")).alias("stays")))
+    gone, repeated = (judged.where(which).select("id", "digest") for which in ("not stays", "stays and times > 1"))
+    key = (docs[id_col].cast("long"), F.unhex(F.md5(docs[text_col].cast("string").cast("binary"))))
+
+    def joined(rows, named, how):
+        named = F.broadcast(named) if named.count() <= broadcast_rows else named
+        return rows.join(named, key[0].eqNullSafe(named["id"]) & key[1].eqNullSafe(named["digest"]), how)
+
+    kept = joined(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    every = F.struct("*")
+    one = joined(kept, repeated, "left_semi").groupBy(*(k.alias(f"k{i}") for i, k in enumerate(key))).agg(F.min_by(every, F.xxhash64(every)).alias("row"))
+    return joined(kept, repeated, "left_anti").unionByName(one.select("row.*"))
 
 
 def digest(found: DataFrame) -> DataFrame:
