@@ -8,12 +8,14 @@ the same original span) are not taken again, which ends cycles. A secret in a de
 reported at the original characters that it came from.
 
 Compressed streams (gzip, zlib, bzip2, xz, zstd) are found at any place in the bytes of base64, of URL
-escapes, of \\x and similar escapes, and of characters below 256. Bytes that are no text throughout are
-scanned too: what isn't UTF-8 becomes a replacement character, at which every match ends.
+escapes, of \\x and similar escapes, and of characters below 256. Their contents are read as streams, in
+windows that end at white space and overlap, so that memory is bounded and all of a stream is scanned,
+however large; a content too large to keep is expanded again for each stream inside it. Bytes that are no
+text throughout are scanned too: what isn't UTF-8 becomes a replacement character, at which every match
+ends, and runs of ASCII in UTF-16 are read as text as well.
 
 Null texts are empty. Rows with a null id keep it; repeated rows are scanned each; an empty table
-gives an empty result. Other columns are not read. A compressed stream is expanded up to
-``max_layer`` bytes, which bounds memory against decompression bombs; its start is still scanned.
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6}
 EITHER = re.compile(f"{PERCENT.pattern}|{ESCAPE.pattern}")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: As mail and certificates have it, over several lines.
+BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+(?=[=\s\"'<]|\Z))+={0,2}")
 #: Where a compressed stream can start: the usual zlib headers anywhere, those of small windows first of all.
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\A[\x08\x18\x28\x38\x48\x58\x68](?s:.)")
 LATIN = re.compile(r"[\x00-\xff]{8,}")
@@ -56,8 +60,10 @@ BYTE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 BYTE_FORM = re.compile(r"%([0-9A-Fa-f]{2})|(\+)")
 BYTE_ESCAPE = re.compile(r"\\u00([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|&#x0*([0-9A-Fa-f]{1,2});|&#0*([0-9]{1,3});|\\([0-3]?[0-7]{1,2})|\\([abtnvfr\\'\"/])")
 NAMED = dict(zip("abtnvfr\\'\"/", "\a\b\t\n\v\f\r\\'\"/", strict=True))
-#: Streams within streams are unwrapped to this depth.
-DEEPEST = 64
+#: ASCII in UTF-16, of either order.
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){8,}[\x20-\x7e]?")
+#: Bytes of a window, and of what windows share; a run without white space is cut only when it is MOST long.
+WINDOW, OVERLAP, MOST = 4 << 20, 1 << 16, 64 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -155,7 +161,8 @@ def in_context(parent: Layer) -> list[Layer]:
     One layer, not one for each kind: a match of ASSIGN holds no part of an escape, and orders of
     decoding would be exponentially many.
     """
-    new = decoded(parent, EITHER, either_pieces, 0, len(parent.text)) if EITHER.search(parent.text) else None
+    likely = "%" in parent.text or "\\" in parent.text or "&#" in parent.text
+    new = decoded(parent, EITHER, either_pieces, 0, len(parent.text)) if likely and EITHER.search(parent.text) else None
     return [] if new is None else [new]
 
 
@@ -196,99 +203,150 @@ def escape_byte(m: re.Match):
     yield chr(code), m.start(), m.end()
 
 
-def member(raw: memoryview, most: int) -> tuple[bytes, int, bool]:
-    """What one compressed stream at the start of raw holds, up to about ``most`` bytes; where it ends; whether it is complete.
-
-    Of a broken stream, what came before the break.
-    """
-    head, step = bytes(raw[:6]), 256
+def engine_of(head: bytes):
+    """A decompressor for a stream that starts like that, and how many bytes to feed it at a time; None if it is no stream."""
     if head[:2] == b"\x1f\x8b":
-        engine = zlib.decompressobj(31)
-    elif head[:3] == b"BZh":
-        engine = bz2.BZ2Decompressor()
-    elif head == b"\xfd7zXZ\x00":
-        engine = lzma.LZMADecompressor(memlimit=256 << 20)
-    elif head[:4] == b"\x28\xb5\x2f\xfd":
-        engine, step = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), 64  # it knows no limit, so it gets little at a time
-    elif len(head) > 1 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
-        engine = zlib.decompressobj()
-    else:
-        return b"", 0, False
-    limit = () if step == 64 else (most,)
-    out, at = bytearray(), 0
-    try:
-        while at < len(raw) and len(out) < most and not engine.eof:
-            out += engine.decompress(bytes(raw[at : at + step]), *(m - len(out) for m in limit))
-            at += step
-    except (zlib.error, OSError, EOFError, ValueError, MemoryError, lzma.LZMAError, zstandard.ZstdError):
-        return bytes(out[:most]), min(at, len(raw)), False
-    at = min(at, len(raw))
-    return bytes(out[:most]), at - len(engine.unused_data) if engine.eof else at, engine.eof
-
-
-def expanded(raw: memoryview, most: int) -> tuple[bytes, int, bool]:
-    """As member(), with the members that follow at once, as of concatenated files, up to ``most`` bytes together."""
-    out, at, complete = member(raw, most)
-    parts, size, head = [out], len(out), bytes(raw[:2])
-    while complete and size < most and bytes(raw[at : at + 2]) == head:
-        out, end, whole = member(raw[at:], most - size)
-        if not whole and not out:
-            break
-        parts.append(out)
-        at, size, complete = at + end, size + len(out), whole
-    return b"".join(parts), at, complete
-
-
-def streams(raw: bytes, most: int):
-    """(start, end, content) of the compressed streams in raw."""
-    done = 0
-    for m in MAGIC.finditer(raw):
-        if m.start() >= done:
-            out, end, complete = expanded(memoryview(raw)[m.start() :], most)
-            if complete:
-                done = m.start() + end
-            if out:
-                yield m.start(), m.start() + end, out
-
-
-def texts(raw: bytes, max_layer: int):
-    """The texts that bytes hold: their own, and those of all streams in them, however deep."""
-    waiting, seen = [(raw, 0)], set()
+        return zlib.decompressobj(31), 256
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), 256
+    if head == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=256 << 20), 256
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), 64  # it knows no limit, so it gets little at a time
+    if len(head) > 1 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(), 256
+    return None, 0
+
+
+class Expanded:
+    """What the compressed stream at the start of some pieces of bytes holds, as pieces of at most a few MB.
+
+    Members that follow at once, as in concatenated files, belong to it. Of a broken stream, what came
+    before the break. ``used`` is the length of the complete members, ``complete`` whether all were.
+    """
+
+    def __init__(self, pieces):
+        self.pieces, self.buffer, self.at, self.used, self.complete = iter(pieces), b"", 0, 0, False
+
+    def have(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end; they stay in the buffer."""
+        while len(self.buffer) - self.at < n and (more := next(self.pieces, b"")):
+            self.buffer, self.at = self.buffer[self.at :] + more, 0
+        return self.buffer[self.at : self.at + n]
+
+    def __iter__(self):
+        first = self.have(6)
+        while (engine := engine_of(self.have(6)))[0] and self.have(2) == first[:2]:
+            engine, step = engine
+            self.complete, taken = False, 0
+            try:
+                while not engine.eof:
+                    if not (data := self.have(step)):
+                        return
+                    self.at += len(data)
+                    taken += len(data)
+                    out = engine.decompress(data) if step == 64 else engine.decompress(data, 1 << 20)
+                    while out:
+                        yield out
+                        held = getattr(engine, "unconsumed_tail", None)
+                        more = step == 256 and not engine.eof and (held or held is None and not engine.needs_input)
+                        out = engine.decompress(held or b"", 1 << 20) if more else b""
+            except (zlib.error, OSError, EOFError, ValueError, MemoryError, lzma.LZMAError, zstandard.ZstdError):
+                return
+            self.buffer, self.at = engine.unused_data + self.buffer[self.at :], 0
+            self.used += taken - len(engine.unused_data)
+            self.complete = True
+
+
+class Source:
+    """Bytes that can be read again from their start: held here, or the content of a stream at a place of another source."""
+
+    def __init__(self, raw: bytes | None, parent: Source | None = None, at: int = 0):
+        self.raw, self.parent, self.at = raw, parent, at
+
+    def pieces(self, skip: int = 0):
+        if self.raw is not None:
+            yield from (self.raw[a : a + (1 << 16)] for a in range(skip, len(self.raw), 1 << 16))
+            return
+        for piece in Expanded(self.parent.pieces(self.at)):
+            if skip < len(piece):
+                yield piece[skip:]
+            skip = max(0, skip - len(piece))
+
+    def stream(self, at: int) -> tuple[Source | None, int]:
+        """The content of the stream at a place, None if there is none, and how long the stream is if it ends and its content is small."""
+        stream, parts, size = Expanded(self.pieces(at)), [], 0
+        for piece in stream:
+            parts.append(piece)
+            size += len(piece)
+            if size > WINDOW:
+                return Source(None, self, at), 0
+        return Source(b"".join(parts)) if size else None, stream.used if stream.complete else 0
+
+    def windows(self):
+        """(place, bytes, first new byte) of windows that end at white space and overlap."""
+        held, place, new, space = bytearray(), 0, 0, 0
+        for piece in self.pieces():
+            if (last := max(map(piece.rfind, b" \n\t"))) >= 0:
+                space = len(held) + last + 1
+            held += piece
+            if len(held) < WINDOW or space <= new and len(held) < MOST:
+                continue
+            stop = space if space > new else len(held)
+            yield place, bytes(held[:stop]), new
+            keep = max(0, stop - (OVERLAP if stop < len(held) else 16 * OVERLAP))
+            del held[:keep]
+            place, new, space = place + keep, stop - keep, 0
+        yield place, bytes(held), new
+
+
+def texts(raw: bytes):
+    """The texts that bytes hold: their own, and those of all streams in them, however deep; large ones by window."""
+    waiting, seen = [Source(raw)], set()
     while waiting:
-        raw, depth = waiting.pop()
-        key = hashlib.blake2b(raw, digest_size=16).digest()
-        if key in seen:
-            continue
-        seen.add(key)
-        whole = False
-        for start, end, content in streams(raw, max_layer) if depth < DEEPEST else ():
-            waiting.append((content, depth + 1))
-            whole = whole or end - start == len(raw)
-        if raw and not whole:
-            yield raw.decode("utf-8", "replace")
-
-
-def base64_layers(parent: Layer, max_layer: int, seen: set) -> list[Layer]:
-    out = []
-    for m in BASE64.finditer(parent.text):
-        first, last = parent.origin(m.start(), m.end())
-        if (m[0], first, last) in seen:
-            continue
-        seen.add((m[0], first, last))
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        out += [Layer(text, [0], [first], [last], [False]) for text in texts(raw, max_layer)]
-    return out
+        source, inside, done, whole = waiting.pop(), [], 0, 0
+        digest = hashlib.blake2b(digest_size=16)
+        for place, window, new in source.windows():
+            digest.update(window[new:])
+            covered = False
+            for m in MAGIC.finditer(window):
+                at = place + m.start()
+                if at < done or m.start() + 8 < new and place:  # what the window before has seen
+                    continue
+                content, length = source.stream(at)
+                if content:
+                    inside.append(content)
+                    covered = covered or at == place == 0 and length == len(window)
+                    done = max(done, at + length)
+            if window and not covered:
+                yield window.decode("utf-8", "replace")
+                if wide := [m[0][::2].decode("ascii") for m in WIDE.finditer(window)]:
+                    yield "\n".join(wide)
+        if digest.digest() not in seen:  # else a stream that holds itself
+            seen.add(digest.digest())
+            waiting += inside
+
+
+def base64_layers(parent: Layer, seen: set):
+    for pattern in (BASE64, BASE64_LINES):
+        for m in pattern.finditer(parent.text) if pattern is BASE64 or "\n" in parent.text else ():
+            first, last = parent.origin(m.start(), m.end())
+            if (m[0], first, last) in seen:
+                continue
+            seen.add((m[0], first, last))
+            body = "".join(m[0].split()).rstrip("=").replace("-", "+").replace("_", "/")
+            body = body[:-1] if len(body) % 4 == 1 else body
+            try:
+                raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            except (binascii.Error, ValueError):
+                continue
+            for text in texts(raw):
+                yield Layer(text, [0], [first], [last], [False])
 
 
-def compressed_layers(parent: Layer, max_layer: int) -> list[Layer]:
+def compressed_layers(parent: Layer):
     """The texts of streams whose bytes are the layer's characters, plain or escaped."""
-    forms, out = [parent], []
+    forms = [parent]
     if "%" in parent.text:
         forms.append(decoded(parent, BYTE_PERCENT, percent_byte, 0, len(parent.text)))
         if "+" in parent.text:
@@ -297,35 +355,50 @@ def compressed_layers(parent: Layer, max_layer: int) -> list[Layer]:
         forms.append(decoded(parent, BYTE_ESCAPE, escape_byte, 0, len(parent.text)))
     for form in forms:
         for run in LATIN.finditer(form.text) if form is not None else ():
-            for start, end, content in streams(run[0].encode("latin-1"), max_layer):
-                first, last = form.origin(run.start() + start, run.start() + end)
-                out += [Layer(text, [0], [first], [last], [False]) for text in texts(content, max_layer)]
-    return out
-
-
-def spans(text: str, max_layer: int = 64 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+            raw, done = run[0].encode("latin-1"), 0
+            for m in MAGIC.finditer(raw):
+                if m.start() < done:
+                    continue
+                stream = Expanded(Source(raw).pieces(m.start()))
+                size = sum(map(len, stream))
+                if not size:
+                    continue
+                length = stream.used if stream.complete else len(raw) - m.start()
+                done = m.start() + length if stream.complete else done
+                first, last = form.origin(run.start() + m.start(), run.start() + m.start() + length)
+                for text in texts(raw[m.start() : m.start() + length]):
+                    yield Layer(text, [0], [first], [last], [False])
+
+
+def children(layer: Layer, taken: set):
+    """The layers inside a layer."""
+    if "%" in layer.text:
+        yield from unescaped(layer, PERCENT, percent_pieces)
+    if "\\" in layer.text or "&#" in layer.text:
+        yield from unescaped(layer, ESCAPE, escape_pieces)
+    yield from in_context(layer)
+    yield from base64_layers(layer, taken)
+    yield from compressed_layers(layer)
+
+
+def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the text's own secrets, and of all with those of decoded layers; both sorted."""
     base = sorted(scan(text))
-    found, worklist, seen, taken = set(base), [whole(text)], set(), set()
-    while worklist:
-        layer = worklist.pop()
-        layers = []
-        if "%" in layer.text:
-            layers += unescaped(layer, PERCENT, percent_pieces)
-        if "\\" in layer.text or "&#" in layer.text:
-            layers += unescaped(layer, ESCAPE, escape_pieces)
-        layers += in_context(layer)
-        layers += base64_layers(layer, max_layer, taken)
-        layers += compressed_layers(layer, max_layer)
-        for new in layers:
-            key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.first[0], new.last[-1])
-            if key in seen:
-                continue
-            seen.add(key)
-            for start, kind, end in scan(new.text):
-                a, b = new.origin(start, end)
-                found.add((a, kind, b))
-            worklist.append(new)
+    found, seen, taken = set(base), set(), set()
+    worklist = [children(whole(text), taken)]
+    while worklist:  # the layers still to come are made one at a time
+        new = next(worklist[-1], None)
+        if new is None:
+            worklist.pop()
+            continue
+        key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.first[0], new.last[-1])
+        if key in seen:
+            continue
+        seen.add(key)
+        for start, kind, end in scan(new.text):
+            a, b = new.origin(start, end)
+            found.add((a, kind, b))
+        worklist.append(children(new, taken))
     return base, sorted(found)
 
 
