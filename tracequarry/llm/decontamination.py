@@ -13,13 +13,14 @@ item id that occurs twice is listed once. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import id_and_text, slices, texts_as_bytes
+from tracequarry.llm.common import id_and_text, shared_folder, slices, texts_as_bytes
 
 #: Lower-cases A-Z and turns every ASCII byte outside 0-9 and a-z into a space; other bytes are parts of words.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -93,8 +94,8 @@ def search(tables: list[Tables], words: list[bytes]) -> tuple[list[tuple[int, in
     return merged, items
 
 
-def shards(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> list[list[tuple[int, bytes]]]:
-    """The items in shards of about max_bytes of text, from one sized read each; a shard is all that is broadcast at once."""
+def shards(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int):
+    """How many shards of about max_bytes of text the items make, and what reads one; a shard is all that is read and broadcast at once."""
     rows = id_and_text(benchmark, item_col, text_col).where("id is not null and text is not null")
     size = int(rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
     n = max(1, -(-size // max_bytes))
@@ -106,14 +107,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, item_col: st
     """For each document row: doc_id, n_words, spans (of hit words, [first, end) pairs flattened) and items (sorted ids).
 
     The benchmark is read in shards whose texts have at most about max_shard_bytes, a checked bound;
-    each is broadcast. With more than one shard, the documents are searched once per shard and the
-    results of a row are merged by its id and text's hash.
+    each is broadcast. With more than one shard, the documents are searched once per shard, one shard
+    after another; its hits are written to the shared folder before the next is read, and the hits of a
+    row are merged by its id and its text's hash.
     """
+    return found_rows(docs, benchmark, width, item_col, item_text, id_col, text_col, max_shard_bytes).drop("row")
+
+
+def found_rows(docs: DataFrame, benchmark: DataFrame, width: int, item_col: str, item_text: str, id_col: str, text_col: str, max_shard_bytes: int) -> DataFrame:
+    """The rows of matches(); with more than one shard also ``row``, the MD5 of the text."""
     spark, rows = docs.sparkSession, id_and_text(docs, id_col, text_col)
     n, load = shards(benchmark, item_col, item_text, max_shard_bytes)
 
-    def over(shard):
-        shared = spark.sparkContext.broadcast(shard)
+    def over(shared):
         held = []
 
         def found(batches):
@@ -123,28 +129,40 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, item_col: st
                 words = [words_of(t) for t in texts_as_bytes(batch["text"])]
                 results = [search(held[0], w) for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"], pa.array([len(w) for w in words], pa.int64()), pa.array([[x for s in r[0] for x in s] for r in results], pa.list_(pa.int64())), pa.array([sorted(r[1]) for r in results], pa.list_(pa.int64())), *([batch["row"]] if n > 1 else [])],
-                    ["doc_id", "n_words", "spans", "items", *(["row"] if n > 1 else [])],
+                    [batch["id"], *([batch["row"]] if n > 1 else []), pa.array([len(w) for w in words], pa.int64()), pa.array([[x for s in r[0] for x in s] for r in results], pa.list_(pa.int64())), pa.array([sorted(r[1]) for r in results], pa.list_(pa.int64()))],
+                    ["doc_id", *(["row"] if n > 1 else []), "n_words", "spans", "items"],
                 )
 
-        source = rows if n == 1 else rows.withColumn("row", F.xxhash64("text"))
-        return source.mapInArrow(found, "doc_id long, n_words long, spans array<long>, items array<long>" + ", row long" * (n > 1))
+        source = rows if n == 1 else rows.withColumn("row", F.unhex(F.md5(F.col("text").cast("binary"))))
+        return source.mapInArrow(found, "doc_id long, " + "row binary, " * (n > 1) + "n_words long, spans array<long>, items array<long>")
 
-    parts = [over(load(k)) for k in range(n)]
     if n == 1:
-        return parts[0]
-    merge = lambda spans: F.aggregate(
-        F.array_sort(F.flatten(spans)),
-        F.array().cast("array<struct<a:long,b:long>>"),
-        lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["b"] >= s["a"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["a"].alias("a"), F.greatest(F.element_at(out, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(out, F.array(s))),
-    )
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b")))
-    every = None
-    for k, p in enumerate(parts):
-        p = p.withColumn("spans", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<a:long,b:long>>"))).withColumn("shard", F.lit(k))
-        every = p if every is None else every.unionByName(p)
-    joined = every.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), merge(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum(F.when(F.col("shard") == 0, 1)).alias("times"))
-    return joined.select("doc_id", "n_words", F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"]))).alias("spans"), "items", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy")).drop("copy")
+        return over(spark.sparkContext.broadcast(load(0)))
+    folder = f"{shared_folder(spark)}/decontamination-{uuid.uuid4().hex}"
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(load(k))
+        part = over(shared)
+        (part if k == 0 else part.where("size(items) > 0")).withColumn("shard", F.lit(k)).write.mode("append").parquet(folder)
+        shared.destroy()
+    every = spark.read.parquet(folder)
+
+    def merged(batches):
+        for batch in slices(batches):
+            spans = []
+            for found in batch["spans"].to_pylist():
+                out: list[int] = []
+                for a, b in sorted(pair for one in found for pair in zip(one[::2], one[1::2], strict=True)):
+                    if out and a <= out[-1]:
+                        out[-1] = max(b, out[-1])
+                    else:
+                        out += [a, b]
+                spans.append(out)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], batch["n_words"], pa.array(spans, pa.list_(pa.int64())), batch["items"], batch["times"]], ["doc_id", "row", "n_words", "spans", "items", "times"])
+
+    # equal rows have equal hits in each shard: the sets of a row are of its own text, whatever its copies are
+    hits = every.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("shard") == 0).alias("times"))
+    joined = hits.mapInArrow(merged, "doc_id long, row binary, n_words long, spans array<long>, items array<long>, times long")
+    return joined.select("doc_id", "row", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -160,45 +178,31 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, item_col: str = "item_id", item_text: str = "text", text_col: str = "text", max_shard_bytes: int = 16 << 20) -> DataFrame:
-    """The rows, with all their columns, that aren't contaminated; no row moves between tasks.
+    """The rows, with all their columns, that aren't contaminated.
 
-    With more than one shard of the benchmark, the hit ranges of a text are gathered shard by shard.
+    With one shard of the benchmark no row moves between tasks; with more, the hashes of contaminated texts
+    are joined.
     """
+    spark = docs.sparkSession
     n, load = shards(benchmark, item_col, item_text, max_shard_bytes)
-
-    def ranges_in(shard, part):
-        held = []
-
-        @F.pandas_udf("array<long>")
-        def found(texts: pd.Series, so_far: pd.Series) -> pd.Series:
-            if not held:
-                held.append(build(shard.value, width))
-            out = []
-            for t, known in zip(texts, so_far, strict=True):
-                words = words_of((t or "").encode())
-                known = [] if known is None else [int(x) for x in known][1:]
-                spans = [*zip(known[::2], known[1::2], strict=True), *search(held[0], words)[0]]
-                out.append([len(words), *(x for s in spans for x in s)])
-            return pd.Series(out)
-
-        return found(docs[text_col].cast("string"), part)
-
-    spans = F.lit(None).cast("array<long>")
-    for k in range(n):
-        spans = ranges_in(docs.sparkSession.sparkContext.broadcast(load(k)), spans)
+    if n > 1:
+        named = docs.select(F.lit(0).alias("id"), docs[text_col].alias("text"))
+        bad = judged(found_rows(named, benchmark, width, item_col, item_text, "id", "text", max_shard_bytes)).where("contaminated").select("row").distinct()
+        return docs.join(bad, F.unhex(F.md5(docs[text_col].cast("string").cast("binary"))) == bad["row"], "left_anti")
+    shared, held = spark.sparkContext.broadcast(load(0)), []
 
     @F.pandas_udf("boolean")
-    def fine(found: pd.Series) -> pd.Series:
+    def fine(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(build(shared.value, width))
         out = []
-        for x in found:
-            words, hit, end = int(x[0]), 0, 0
-            for a, b in sorted(zip(x[1::2], x[2::2], strict=True)):
-                hit += max(0, int(b) - max(int(a), end))
-                end = max(end, int(b))
-            out.append(not (hit and 20 * hit >= words))
-        return pd.Series(out)
-
-    return docs.where(fine(spans))
+        for t in texts:
+            words = words_of((t or "").encode())
+            hit = sum(b - a for a, b in search(held[0], words)[0])
+            out.append(not (hit and 20 * hit >= len(words)))
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(fine(docs[text_col].cast("string")))
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], width: int = 13) -> list[tuple]:
