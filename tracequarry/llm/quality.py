@@ -5,8 +5,9 @@ the gradient of the logistic loss; their sum per feature is a lookup table over
 pairs of features that explain most of what is left get tables of their own the same way. A score
 is the logistic function of the vectorised sum of the tables at a document's bins.
 
-The fit uses at most ``max_rows`` labelled rows, those of smallest hash of the id, a bounded sample
-on the driver; scoring covers every whole text. Null and empty texts are scored like any other, with
+The fit uses at most ``max_rows`` labelled ids, those of smallest hash, a bounded sample on the driver;
+of rows that repeat such an id, the one of smallest text hash teaches, and of conflicting labels of an
+id the greatest. Scoring covers every whole text. Null and empty texts are scored like any other, with
 zero features. Labels that are null, or whose id is null or has no document, teach nothing; with no
 label at all every score is 0.5, with one class the smoothed share. Repeated rows are scored each.
 Empty tables give an empty result. Other columns are not read.
@@ -176,7 +177,8 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col:
     known = known.where(remainder(F.col("id")) != 1).groupBy("id").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample.select("id")), "id", "left_semi")
-    found = with_features(rows).join(F.broadcast(sample), "id").select("id", "x", "y").orderBy("id", "x").limit(2 * max_rows).collect()
+    rows = rows.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.md5("text"))).alias("text"))
+    found = with_features(rows).join(F.broadcast(sample), "id").select("id", "x", "y").orderBy("id").collect()
     return fit(np.array([r.x for r in found], float).reshape(-1, len(FEATURES)), np.array([r.y for r in found], float))
 
 
