@@ -11,10 +11,11 @@ from tracequarry.sources.config import read_config
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="tracequarry")
-    parser.add_argument("-a", "--algorithm-configs", help="a JSON list of steps")
+    parser.add_argument("-a", "--algorithm-configs", required=True, help="a JSON list of steps")
     parser.add_argument("--master", help="the Spark master, unless spark-submit sets it")
     args = parser.parse_args()
-    for name, result in run(session(args.master), read_config(args.algorithm_configs)):
+    spark = session(args.master)
+    for name, result in run(spark, read_config(args.algorithm_configs, spark)):
         for key, table in (result if isinstance(result, dict) else {"": result}).items():
             print(name, key)
             table.show(20, truncate=False)

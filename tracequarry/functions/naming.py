@@ -22,9 +22,10 @@ def abbreviation(keys: list[str]) -> str:
 
 
 def natural_key(text: Column) -> Column:
-    """A sort key by which runs of digits compare as numbers (of up to 18 digits) and letters without case."""
+    """A sort key by which runs of digits, of any length, compare as numbers and letters without case."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), 18, "0")).otherwise(r))
+    digits = lambda r: F.regexp_replace(r, r"^0+(?=\d)", "")
+    return F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(r)).cast("string"), 10, "0"), digits(r))).otherwise(r))
 
 
 def suffix_number(file: Column) -> Column:

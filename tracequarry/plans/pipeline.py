@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import warnings
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from tracequarry.functions.registry import ALIASES
 from tracequarry.operators import evaluation, generation
 from tracequarry.plans.features import feature_table, long_form
 from tracequarry.sources import tables
+from tracequarry.sources.files import list_files
 from tracequarry.sources.xes import read_xes, write_xes
 
 
@@ -25,9 +25,7 @@ def generation_step(spark: SparkSession, step: dict) -> DataFrame:
         raise ValueError("generator_params needs an experiment")
     targets = tables.tasks(spark, params["experiment"])
     trials = int(params.get("n_trials", 50))
-    if params.get("simulation_method", "play_out") != "play_out":
-        raise NotImplementedError(f"simulation method {params['simulation_method']}")
-    log, best = generation.generate(spark, targets, space=params.get("config_space"), n_trials=trials, rounds=min(3, trials))
+    log, best = generation.generate(spark, targets, space=params.get("config_space"), n_trials=trials, rounds=min(3, trials), method=params.get("simulation_method", generation.METHODS[0]))
     objectives = [c for c in targets.columns if c != "log"]
     features = feature_table(log, objectives).join(best.select("log", "target_similarity"), "log")
     if out:
@@ -38,18 +36,21 @@ def generation_step(spark: SparkSession, step: dict) -> DataFrame:
 
 
 def extraction_step(spark: SparkSession, step: dict) -> DataFrame:
-    """The features of a CSV, of a folder of JSON files, or of XES logs."""
+    """The features of a CSV file, of a folder of JSON files, or of XES logs, as the folder's first file says.
+
+    Those of a folder are also written to ``<folder>_feat.csv``, below output_path or else beside the folder.
+    """
     path, params = step["input_path"], step.get("feature_params") or {}
     if path.endswith(".csv"):
         return tables.read_features(spark, path)
-    try:
-        return tables.read_feature_json(spark, path)
-    except Exception as error:  # no JSON files there: Spark can't infer a schema
-        if "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    table = feature_table(read_xes(spark, path), params.get("feature_set"))
-    if step.get("output_path"):
-        tables.write_feature_csv(table, f"{step['output_path']}/{path.rstrip('/').rsplit('/', 1)[-1]}_feat")
+    files = list_files(spark, path)
+    if files and files[0].endswith(".json"):
+        table = tables.read_feature_json(spark, path)
+    else:
+        table = feature_table(read_xes(spark, path), params.get("feature_set"))
+    if not path.endswith(".xes"):
+        parent, name = path.rstrip("/").rsplit("/", 1) if "/" in path.rstrip("/") else (".", path.rstrip("/"))
+        tables.write_feature_csv(table, f"{step.get('output_path') or parent}/{name}_feat.csv")
     return table
 
 
@@ -72,10 +73,12 @@ def evaluation_step(spark: SparkSession, step: dict, generated: DataFrame) -> di
     return {"similarity": evaluation.target_similarity(long, long_form(generated)), "errors": evaluation.objective_errors(long, long_form(generated))}
 
 
-def distance_matrix_files(spark: SparkSession, generated: list[str], targets: list[str], pairs: DataFrame) -> DataFrame:
-    """The distance matrix of two families of CSV files."""
-    both = [reduce(lambda a, b: a.unionByName(b), (long_form(tables.read_features(spark, p)) for p in paths)) for paths in (targets, generated)]
-    return evaluation.distance_matrix(evaluation.pair_distances(both[0], both[1], pairs))
+def distance_matrix_files(spark: SparkSession, generated: list[str], targets: list[str]) -> DataFrame:
+    """The distance matrix of two families of CSV files, whose columns say what pair or single feature they are about."""
+    made, wanted = (tables.read_family(spark, paths) for paths in (generated, targets))
+    both = made.join(wanted.select("feat1", "feat2", "log", F.col("v1").alias("t1"), F.col("v2").alias("t2")), ["feat1", "feat2", "log"])
+    second = F.when(F.col("feat1") == F.col("feat2"), 0.0).otherwise(F.pow(F.col("v2") - F.col("t2"), F.lit(2)))
+    return evaluation.distance_matrix(both.select("feat1", "feat2", "log", F.sqrt(F.pow(F.col("v1") - F.col("t1"), F.lit(2)) + second).alias("distance")))
 
 
 def run(spark: SparkSession, steps: list[dict]) -> list[tuple[str, object]]:

@@ -1,18 +1,20 @@
 """XES logs: Spark's XML reader with an explicit schema, and a writer with the standard's header.
 
 Strings are read as strings whatever they look like, and a trace with one attribute or event as a
-list of one. A trace without events is a row with no events. Files that don't parse land in
-``_corrupt_record`` and are reported by unreadable(), not silently dropped.
+list of one. A trace without events is a row with no events. Traces that don't parse land in
+``_corrupt_record``; unreadable() lists them, and read_xes() warns of them.
 """
 
 from __future__ import annotations
 
+import warnings
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracequarry.model import EventLog, from_positions
+from tracequarry.sources.files import file_title, list_files, write_named
 
 _ATTRIBUTE = "array<struct<_key:string,_value:string>>"
 SCHEMA = f"event array<struct<string:{_ATTRIBUTE},date:{_ATTRIBUTE}>>, string {_ATTRIBUTE}, date {_ATTRIBUTE}, _corrupt_record string"
@@ -27,11 +29,15 @@ def attribute(attributes: Column, key: str) -> Column:
     return F.get(F.filter(attributes, lambda a: a["_key"] == key), F.lit(0))["_value"]
 
 
-def read_xes_rows(spark: SparkSession, path: str, pattern: str = "*.xes") -> DataFrame:
-    """One row per trace: log (the file's name without its ending), case_id, events (in file order), attributes, place (in the file), _corrupt_record."""
-    rows = spark.read.schema(SCHEMA).option("rowTag", "trace").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", pattern).xml(path)
-    folder = F.regexp_extract("_metadata.file_path", r"/log=([^/]+)/[^/]*$", 1)  # as write_xes() names it
-    log = F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_replace("_metadata.file_name", r"\.xes$", ""))
+def read_xes_rows(spark: SparkSession, path: str, ending: str = ".xes") -> DataFrame:
+    """One row per trace: log (the file's name without its ending), case_id, events (in file order), attributes, place (in the file), _corrupt_record.
+
+    A folder is read with all folders below it.
+    """
+    if not list_files(spark, path, ending, deep=True):
+        raise FileNotFoundError(f"no {ending} files in {path}")
+    rows = spark.read.schema(SCHEMA).option("rowTag", "trace").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", f"*{ending}").option("recursiveFileLookup", True).xml(path)
+    log = file_title(ending)
     events = F.transform(F.coalesce("event", F.array().cast(f"array<struct<string:{_ATTRIBUTE},date:{_ATTRIBUTE}>>")), lambda e: F.struct(attribute(e["string"], "concept:name").alias("activity"), F.to_timestamp(attribute(e["date"], "time:timestamp")).alias("ts"), attribute(e["string"], "lifecycle:transition").alias("lifecycle")))
     return rows.select(log.alias("log"), attribute(F.col("string"), "concept:name").alias("case_id"), events.alias("events"), F.map_from_entries(F.transform(F.coalesce("string", F.array().cast(_ATTRIBUTE)), lambda a: F.struct(a["_key"], a["_value"]))).alias("attributes"), F.array("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"), "_corrupt_record")
 
@@ -41,12 +47,16 @@ def unreadable(rows: DataFrame) -> DataFrame:
     return rows.where("_corrupt_record is not null").select("log", "case_id", "_corrupt_record")
 
 
-def read_xes(spark: SparkSession, path: str, pattern: str = "*.xes") -> EventLog:
+def read_xes(spark: SparkSession, path: str, ending: str = ".xes", warn: bool = True) -> EventLog:
     """A file or a folder of ``.xes`` files as an event log; each file is a log.
 
-    With ``pattern="*.txt"``, what write_xes() has written.
+    Traces that can't be read are left out, with a warning that counts them per log; for it the files are
+    read once more, which ``warn=False`` spares.
     """
-    rows = read_xes_rows(spark, path, pattern).where("_corrupt_record is null")
+    every = read_xes_rows(spark, path, ending)
+    if warn and (lost := unreadable(every).groupBy("log").agg(F.count("case_id").alias("named"), F.count("*").alias("n")).orderBy("log").limit(20).collect()):
+        warnings.warn("traces could not be read: " + ", ".join(f"{r.n} of {r.log}" for r in lost), stacklevel=2)
+    rows = every.where("_corrupt_record is null")
     events = rows.select("log", "case_id", "place", F.posexplode("events").alias("at", "event"))
     return from_positions(
         events.select("log", "case_id", "place", (F.col("at") + 1).alias("pos"), F.col("event.activity").alias("activity"), F.col("event.ts").alias("ts")),
@@ -80,14 +90,14 @@ def trace_lines(log: EventLog) -> DataFrame:
 
 
 def write_xes(log: EventLog, folder: str) -> None:
-    """A folder ``log=<name>`` per log with one XES text file.
+    """A file ``<log>.xes`` in the folder for each log.
 
     A log is one file, so one task writes it, streaming; logs are written side by side.
     """
     names = log.traces.select("log").distinct()
     edge = lambda place, text: names.select("log", F.lit(None).cast(log.traces.schema["seen"].dataType).alias("seen"), F.lit(text).alias("line"), F.lit(place).alias("place"))
     rows = trace_lines(log).withColumn("place", F.lit(1)).unionByName(edge(0, header())).unionByName(edge(2, "</log>"))
-    rows.repartition("log").sortWithinPartitions("log", "place", "seen").select("log", F.col("line").alias("value")).write.partitionBy("log").mode("overwrite").text(folder)
+    write_named(rows.select(F.col("log").alias("name"), F.col("line").alias("value"), "place", "seen"), folder, ".xes", ["place", "seen"])
 
 
 def trace_numbers(log: EventLog) -> DataFrame:
