@@ -2,8 +2,9 @@
 
 A log's events are rows ``(log, case_id, pos, activity, ts)`` with pos from 1 in a case. Traces are
 rows of their own, so that a trace without events counts. Nothing is held as an array per case: a
-trace's identity is its length and two sums of hashes of (pos, activity), which partial aggregation
-computes; a prefix's identity is the running sums. Together they have 80 bits.
+trace's identity is its length and two combinations, by exclusive or, of hashes of (pos, activity), which
+partial aggregation computes; a prefix's identity is the running ones. Together they have 128 bits, for
+cases of any length.
 """
 
 from __future__ import annotations
@@ -13,13 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of each hash sum: cases of up to 2**23 events keep within a long.
-HASH_BITS = 40
 
-
-def step_hash(seed: int) -> Column:
+def step_hash(seed: int, pos: Column | str = "pos") -> Column:
     """The hash of an activity at its place."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pos", "activity"), 64 - HASH_BITS)
+    return F.xxhash64(F.lit(seed), pos, "activity")
 
 
 @dataclass(frozen=True)
@@ -47,7 +45,7 @@ def from_positions(events: DataFrame, empty: DataFrame | None = None) -> EventLo
     events = events.select(placed(events).alias("place"), F.coalesce(F.col("log").cast("string"), F.lit("")).alias("log"), F.coalesce(F.col("case_id").cast("string"), F.lit("")).alias("case_id"), F.col("pos").cast("long").alias("pos"), F.coalesce("activity", F.lit("")).alias("activity"), F.col("ts").cast("timestamp").alias("ts"))
     events = events.withColumns({"h1": step_hash(1), "h2": step_hash(2)})
     traces = events.groupBy("log", "case_id").agg(
-        F.count("*").alias("n_events"), F.sum("h1").alias("v1"), F.sum("h2").alias("v2"),
+        F.count("*").alias("n_events"), F.bit_xor("h1").alias("v1"), F.bit_xor("h2").alias("v2"),
         F.min_by("activity", "pos").alias("first_activity"), F.max_by("activity", "pos").alias("last_activity"), F.min("ts").alias("first_ts"), F.min("place").alias("place"),
     )
     if empty is not None:
@@ -77,8 +75,8 @@ def variants(log: EventLog) -> DataFrame:
 def prefixes(log: EventLog) -> DataFrame:
     """The events with p1, p2 (identity of the prefix up to them) and q1, q2 (that of the prefix before)."""
     upto = Window.partitionBy("log", "case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.events.withColumns({"p1": F.sum("h1").over(upto), "p2": F.sum("h2").over(upto)})
-    return rows.withColumns({"q1": F.col("p1") - F.col("h1"), "q2": F.col("p2") - F.col("h2")}).drop("h1", "h2")
+    rows = log.events.withColumns({"p1": F.bit_xor("h1").over(upto), "p2": F.bit_xor("h2").over(upto)})
+    return rows.withColumns({"q1": F.col("p1").bitwiseXOR(F.col("h1")), "q2": F.col("p2").bitwiseXOR(F.col("h2"))}).drop("h1", "h2")
 
 
 def tables(log: EventLog) -> dict[str, DataFrame]:

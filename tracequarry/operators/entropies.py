@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracequarry.model import EventLog, prefixes, variants
+from tracequarry.model import EventLog, prefixes, step_hash, variants
 from tracequarry.operators.counts import merged
 from tracequarry.operators.statistics import entropy
 
@@ -65,10 +65,13 @@ def sequences(log: EventLog) -> DataFrame:
 
 def global_block_entropy(log: EventLog) -> DataFrame:
     """eventropy_global_block over all contiguous blocks of all traces, and flattened over those of each variant once."""
-    starts = sequences(log).select("log", "n", F.posexplode("activities").alias("i", "activity"), "activities")
-    blocks = starts.select("log", "n", "activities", "i", F.explode(F.sequence(F.lit(1), F.size("activities") - F.col("i"))).alias("size"))
-    block = F.slice("activities", F.col("i") + 1, F.col("size"))
-    counted = blocks.select("log", "n", "size", F.xxhash64(F.lit(1), block).alias("b1"), F.xxhash64(F.lit(2), block).alias("b2")).groupBy("log", "size", "b1", "b2").agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+    one = log.traces.where("n_events > 0").groupBy("log", "n_events", "v1", "v2").agg(F.count("*").alias("n"), F.min("case_id").alias("case_id"))
+    rows = log.events.select("log", "case_id", "pos", "activity").join(one.select("log", "case_id", "n"), ["log", "case_id"])
+    # an event is the k-th of one block for each place that a block can start at; a block is the combined hashes up to it
+    steps = rows.select("log", "case_id", "n", "activity", F.explode(F.sequence(F.lit(1).cast("long"), "pos")).alias("start"), "pos").withColumn("size", F.col("pos") - F.col("start") + 1)
+    upto = Window.partitionBy("log", "case_id", "start").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = steps.select("log", "n", "size", *(F.bit_xor(step_hash(k, "size")).over(upto).alias(f"b{k}") for k in (1, 2)))
+    counted = blocks.groupBy("log", "size", "b1", "b2").agg(F.sum("n").alias("n"), F.count("*").alias("v"))
     every = entropy(counted, "n", ["log"]).withColumnRenamed("entropy", "eventropy_global_block")
     return every.join(entropy(counted, "v", ["log"]).withColumnRenamed("entropy", "eventropy_global_block_flattened"), "log")
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions.registry import PARTS, resolve
 from tracequarry.model import EventLog
+from tracequarry.sources.files import cut
 
 
 def feature_table(log: EventLog, names: list[str] | None = None) -> DataFrame:
     """One row per log with a double column per feature, for features, families or aliases; all by default."""
     wanted = resolve(names)
+    if sum(any(f in wanted for f in part.features) for part in PARTS) > 1:
+        log = EventLog(log.events, cut(log.traces))  # one row per case, made once for all parts
     table = log.traces.select("log").distinct()
     for part in PARTS:
         own = [f for f in part.features if f in wanted]
