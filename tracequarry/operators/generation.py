@@ -13,12 +13,14 @@ import random
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.model import EventLog, from_positions
 from tracequarry.plans.features import feature_table, long_form
+from tracequarry.sources.files import cut
 
 #: The space used when an experiment gives none.
 DEFAULT_SPACE = {
@@ -184,8 +186,12 @@ def play_out(trials: DataFrame, traces_per_task: int = 1000) -> EventLog:
     return from_positions(events, rows.where("pos = 0"))
 
 
-def simulated(trials: DataFrame, method: str = "play_out") -> EventLog:
-    if method != "play_out":
+#: Fixed value: what configurations call the play-out of process trees; and a plain name for it.
+METHODS = ("PTLG", "play_out")
+
+
+def simulated(trials: DataFrame, method: str = METHODS[0]) -> EventLog:
+    if method not in METHODS:
         raise NotImplementedError(f"simulation method {method}")
     return play_out(trials)
 
@@ -206,33 +212,69 @@ def costs(targets: DataFrame, achieved: DataFrame) -> DataFrame:
     return met.groupBy(F.col("t.log").alias("log"), "trial").agg(F.avg(F.abs(off)).alias("cost"), (1 / (1 + F.sqrt(F.sum(off * off)))).alias("target_similarity"))
 
 
-def search(spark: SparkSession, targets: DataFrame, space: dict | None = None, n_trials: int = 50, rounds: int = 3, seed: int = 10, keep: int = 2) -> tuple[DataFrame, DataFrame]:
+def surrogate(x: np.ndarray, y: np.ndarray):
+    """A Gaussian-process regression: a function from rows of x to the mean of y's columns and a standard deviation, in units of y's."""
+    centre, spread = y.mean(axis=0), np.maximum(y.std(axis=0), 1e-9)
+    apart = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=-1)
+    scale = max(float(np.median(apart(x, x))), 1e-9)
+    kernel = lambda a, b: np.exp(-apart(a, b) / scale)
+    inverse = np.linalg.inv(kernel(x, x) + 0.05 * np.eye(len(x)))
+    weights = inverse @ ((y - centre) / spread)
+
+    def predict(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = kernel(at, x)
+        return centre + spread * (k @ weights), np.sqrt(np.maximum(1 - ((k @ inverse) * k).sum(axis=1), 0))[:, None] * spread
+
+    return predict
+
+
+def proposed(bounds: list[tuple], tried: list[tuple[dict, dict]], tasks: list[dict], features: list[str], n: int, rng: random.Random, boldness: float = 0.5) -> list[dict]:
+    """n configurations whose predicted features come closest to some task's targets, in turn; what is uncertain counts as closer."""
+    free = [b for b in bounds if not b[4] and b[2] > b[1]]
+    scaled = lambda configs: np.array([[(c[name] - lo) / (hi - lo) for name, lo, hi, _, _ in free] for c in configs], float).reshape(len(configs), -1)
+    known = [(c, f) for c, f in tried if all(f.get(k) is not None for k in features)]
+    if len(known) < 3 or not free or not tasks:
+        return drawn(bounds, n, rng)
+    candidates = drawn(bounds, 1024, rng)
+    for task in tasks:
+        wanted = {k: v for k, v in task.items() if v is not None}
+        best = min(known, key=lambda t: sum(abs(t[1][k] - v) for k, v in wanted.items()))[0]
+        candidates += around(bounds, best, 0.25, 64, rng)
+    mean, doubt = surrogate(scaled([c for c, _ in known]), np.array([[f[k] for k in features] for _, f in known], float))(scaled(candidates))
+    ranked = []
+    for task in tasks:
+        at = [features.index(k) for k, v in task.items() if v is not None]
+        goal = np.array([task[features[k]] for k in at], float)
+        ranked.append(np.argsort(np.maximum(np.abs(mean[:, at] - goal) - boldness * doubt[:, at], 0).mean(axis=1) + 1e-6 * np.abs(mean[:, at] - goal).mean(axis=1), kind="stable"))
+    order = dict.fromkeys(int(r[k]) for k in range(min(n, len(candidates))) for r in ranked)
+    return [candidates[i] for i in list(order)[:n]]
+
+
+def search(spark: SparkSession, targets: DataFrame, space: dict | None = None, n_trials: int = 50, rounds: int = 3, seed: int = 10, method: str = METHODS[0], most_tasks: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(log, trial, cost, target_similarity) of the best trial of each task, and the trials' configurations.
 
-    ``targets`` is a wide table of tasks, as large as an experiment's definition. What comes to the
-    driver is ``keep`` trials per task and round. All trials of a round are evaluated at once.
+    Bayesian optimisation in rounds: a Latin hypercube first, then configurations that a Gaussian process
+    over all trials so far expects to come close to the tasks. All trials of a round are evaluated at once.
+    ``targets`` is a wide table of tasks. What comes to the driver is the features of ``n_trials`` trials
+    and, as goals of the proposals, at most ``most_tasks`` tasks; all tasks are compared with all trials.
     """
     from functools import reduce
 
     bounds, rng = config_space(space), random.Random(seed)
-    wanted = long_form(targets)
     features = [c for c in targets.columns if c != "log"]
+    wanted = cut(long_form(targets))
+    goals = [r.asDict() for r in targets.select(*(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in features)).orderBy(F.xxhash64(*features), *features).limit(most_tasks).collect()]
     per_round = max(1, n_trials // rounds)
     known: dict[str, dict] = {}
+    tried: list[tuple[dict, dict]] = []
     found: list[DataFrame] = []
-    configs = drawn(bounds, per_round, rng)
     for r in range(rounds):
+        configs = proposed(bounds, tried, goals, features, per_round, rng) if r else drawn(bounds, per_round, rng)
         names = {f"r{r}_{i}": c for i, c in enumerate(configs)}
         known |= names
-        trials = trial_table(spark, configs, seed, f"r{r}")
-        achieved = long_form(feature_table(simulated(trials), features))
-        scored = costs(wanted, achieved).persist()
-        found.append(scored)
-        if r + 1 < rounds:
-            top = reduce(lambda a, b: a.unionByName(b), found).groupBy("log").agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", "trial"))), 1, keep).alias("best")).orderBy("log").collect()
-            chosen = list(dict.fromkeys(b["trial"] for row in top for b in row["best"]))
-            share = max(1, per_round // max(1, len(chosen)))
-            configs = [c for t in chosen for c in around(bounds, known[t], 0.5 ** (r + 1), share, rng)] or drawn(bounds, per_round, rng)
+        achieved = cut(feature_table(simulated(trial_table(spark, configs, seed, f"r{r}"), method), features))
+        tried += [(names[row["log"]], row.asDict()) for row in achieved.orderBy("log").collect()]
+        found.append(costs(wanted, long_form(achieved)))
     every = reduce(lambda a, b: a.unionByName(b), found)
     best = every.groupBy("log").agg(F.min_by(F.struct("trial", "cost", "target_similarity"), F.struct("cost", "trial")).alias("b")).select("log", "b.*")
     rows = [(t, seed, *(int(c[p]) if p in WHOLE else float(c[p]) for p in DEFAULT_SPACE)) for t, c in known.items()]
@@ -242,6 +284,6 @@ def search(spark: SparkSession, targets: DataFrame, space: dict | None = None, n
 def generate(spark: SparkSession, targets: DataFrame, **options) -> tuple[EventLog, DataFrame]:
     """The event logs of the best trials, named by task, and (log, trial, cost, target_similarity, configuration)."""
     best, configs = search(spark, targets, **options)
-    chosen = best.join(configs, "trial")
+    chosen = cut(best.join(configs, "trial"))
     log = play_out(chosen.drop("trial", "cost", "target_similarity").withColumnRenamed("log", "trial").select(*(c.name for c in spark.createDataFrame([], CONFIG_SCHEMA).schema)))
     return log, chosen
