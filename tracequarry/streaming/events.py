@@ -36,26 +36,67 @@ def sessions(events: DataFrame, by: str, gap: str = "1 hour", late: str = "1 day
     return got.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), by, "n")
 
 
-def case_prefixes(events: DataFrame) -> DataFrame:
+def decayed_sums(events: DataFrame, by: str, scale: str = "1 day", late: str = "1 day") -> DataFrame:
+    """(window_start, by, n, total, last_ts): per window of the length ``scale``, the weights exp((ts - window_start) / scale) summed, for decayed()."""
+    got = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    frame = F.window("ts", scale)
+    weight = F.exp((F.unix_micros("ts") - F.unix_micros(frame["start"])) / (F.unix_micros(frame["end"]) - F.unix_micros(frame["start"])))
+    rows = got.groupBy(frame.alias("w"), by).agg(F.count("*").alias("n"), F.sum(weight).alias("total"), F.max("ts").alias("last_ts"))
+    return rows.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), by, "n", "total", "last_ts")
+
+
+def decayed(sums: DataFrame, by: str) -> DataFrame:
+    """(by, n, weight): events with weights that decay by e for each ``scale`` before the last event of all, from what decayed_sums() has kept.
+
+    The kept sums are relative to their window, so that none overflows however long the stream runs.
+    """
+    end = sums.agg(F.max("last_ts").alias("end"))
+    rows = sums.join(F.broadcast(end), how="left")  # one row
+    scale = F.unix_micros("window_end") - F.unix_micros("window_start")
+    return rows.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.col("total") * F.exp((F.unix_micros("window_start") - F.unix_micros("end")) / scale)).alias("weight"))
+
+
+def case_prefixes(events: DataFrame, late: str = "1 day", idle_hours: int = 48) -> DataFrame:
     """(case_id, n_events, prefix) after each batch that has events of a case (case_id, event_id, activity, ts): its length and activities so far.
 
     State is one row per case, in the state store; a batch's events of a case are ordered by time and id.
+    A case is forgotten when the watermark has passed its last event by ``idle_hours``.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, prefix = state.get if state.exists else (0, "")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, prefix, last = state.get if state.exists else (0, "", 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         n, prefix = n + len(rows), ">".join(([prefix] if n else []) + rows["activity"].tolist())
-        state.update((n, prefix))
+        last = max(last, int(rows["ts"].max().timestamp() * 1000))
+        state.update((n, prefix, last))
+        state.setTimeoutTimestamp(max(last + idle_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"case_id": [key[0]], "n_events": [n], "prefix": [prefix]})
 
-    return events.groupBy("case_id").applyInPandasWithState(step, "case_id string, n_events long, prefix string", "n long, prefix string", "update", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("case_id").applyInPandasWithState(step, "case_id string, n_events long, prefix string", "n long, prefix string, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def finished(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """What a stream yields for the files that are there now, as a table in the session (for results of bounded size)."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def finished(stream: DataFrame, mode: str, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream yields for the files that are there now: the last state of each key, or of all in mode ``complete``.
+
+    Each batch is written to a folder of its own, again if it is retried, so that results of any size stay off the driver.
+    """
+    schema = stream.schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/results/{batch}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    spark.createDataFrame([], schema).withColumn("batch", F.lit(0)).write.parquet(f"{folder}/results/none")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch long").option("recursiveFileLookup", True).parquet(f"{folder}/results")
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in schema.names if c not in keys)), "batch").alias("r")).select(*keys, "r.*")
 
 
 def written(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
