@@ -1,5 +1,6 @@
 """Sources, evaluation, generation, streaming, and all queries against their SQL."""
 
+import datetime
 import json
 import math
 import os
@@ -13,7 +14,10 @@ from tracequarry.oracles import ORACLES
 from tracequarry.plans import pipeline
 from tracequarry.plans.features import feature_table, long_form
 from tracequarry.queries import QUERIES
+from tracequarry.model import from_positions
 from tracequarry.sources import config, tables
+from tracequarry.sources.files import copy_matching
+from tracequarry.streaming import events as streaming
 from tracequarry.sources.xes import read_xes, read_xes_rows, unreadable, write_xes
 
 
@@ -66,11 +70,24 @@ def test_xes_round_trip(spark, tmp_path):
     assert read_xes_rows(spark, str(tmp_path)).where("size(events) = 2").first().events[1].lifecycle == "start"
     assert unreadable(read_xes_rows(spark, str(tmp_path))).collect() == []
     write_xes(log, str(tmp_path / "out"))
-    text = next((tmp_path / "out").glob("*/*.txt")).read_text()
+    text = (tmp_path / "out" / "one_1.xes").read_text()
     assert text.startswith("<?xml") and text.count("<extension") == 3 and text.count("<global") == 2 and text.rstrip().endswith("</log>")
-    again = read_xes(spark, str(tmp_path / "out"), "*.txt")
+    again = read_xes(spark, str(tmp_path / "out"))
     assert again.events.select("log", "case_id", "pos", "activity", "ts").exceptAll(log.events.select("log", "case_id", "pos", "activity", "ts")).count() == 0
     assert again.traces.count() == 3
+    (tmp_path / "below/a/b").mkdir(parents=True)
+    (tmp_path / "below/a/b/two.xes").write_text(XES.replace('value="8"/>', 'value="8"/><event'))
+    with pytest.warns(UserWarning, match="1 of two"):
+        assert read_xes(spark, str(tmp_path / "below")).traces.count() == 2
+    with pytest.raises(FileNotFoundError):
+        read_xes(spark, str(tmp_path / "below"), ".log")
+
+
+def test_odd_log_names(spark, tmp_path):
+    names = ["a/b", "50% + x", "ü:1", ""]
+    log = from_positions(spark.createDataFrame([(n, "c", 1, "x", None) for n in names], "log string, case_id string, pos long, activity string, ts timestamp"))
+    write_xes(log, str(tmp_path / "logs"))
+    assert sorted(r.log for r in read_xes(spark, str(tmp_path / "logs")).traces.collect()) == sorted(names)
 
 
 def test_csv_and_json(spark, tmp_path):
@@ -92,15 +109,42 @@ def test_csv_and_json(spark, tmp_path):
     (tmp_path / "m_1.csv").write_text("log,x\na,1\nb,2\n")
     (tmp_path / "m_2.csv").write_text("log,y\nb,3\nc,4\n")
     assert sorted((r.log, r.x, r.y) for r in tables.merge_csvs(spark, str(tmp_path), "m_").collect()) == [("a", 1, None), ("b", 2, 3), ("c", None, 4)]
-    tables.write_feature_csv(some, str(tmp_path / "w"))
-    assert tables.read_features(spark, str(tmp_path / "w")).count() == 2
+    tables.write_feature_csv(some, str(tmp_path / "w_feat.csv"))
+    assert (tmp_path / "w_feat.csv").is_file() and tables.read_features(spark, str(tmp_path / "w_feat.csv")).count() == 2
+    (tmp_path / "j/lines.json").write_text('{"log": "c", "rmcv": NaN}\n{"log": "d", "rmcv": 0.25}\n')
+    (tmp_path / "j/spread.json").write_text('{\n "log": "e",\n "rmcv": 0.75\n}\n')
+    got = {r.log: r.ratio_most_common_variant for r in tables.read_feature_json(spark, str(tmp_path / "j")).collect()}
+    assert got == {"a": 0.5, "b": None, "c": None, "d": 0.25, "e": 0.75}
+    tables.merge_jsons(spark, str(tmp_path / "j"), str(tmp_path / "merged.csv"))
+    assert (tmp_path / "merged.csv").read_text().count("\n") == 6
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        tables.merge_jsons(spark, str(tmp_path / "none"), str(tmp_path / "x.csv"))
+
+
+def test_copies_of_instances(spark, tmp_path):
+    (tmp_path / "src/deep").mkdir(parents=True)
+    (tmp_path / "src/deep/a_1.xes").write_text("x")
+    with pytest.warns(UserWarning, match="no file matches b"):
+        assert copy_matching(spark, ["a_*.xes", "b.xes"], str(tmp_path / "src"), str(tmp_path / "to")) == 1
+    assert (tmp_path / "to/deep_a_1.xes").read_text() == "x"
 
 
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('[{"pipeline_step": "a", "pipeline_step": "b"}]')
     assert config.read_config(str(tmp_path / "c.json")) == [{"pipeline_step": "b"}]
-    with pytest.warns(UserWarning):
-        assert config.read_config(None) == config.DEFAULT
+    (tmp_path / "d.json").write_text('{"pipeline_step": "a"}')
+    with pytest.raises(ValueError):
+        config.read_config(str(tmp_path / "d.json"))
+
+
+def test_command_line_needs_a_configuration(capsys, monkeypatch):
+    from tracequarry.__main__ import main
+
+    monkeypatch.setattr("sys.argv", ["tracequarry"])
+    with pytest.raises(SystemExit):
+        main()
+    assert "--algorithm-configs" in capsys.readouterr().err
 
 
 def test_names(spark):
@@ -109,6 +153,8 @@ def test_names(spark):
     assert naming.output_location({f"k{i}": 0 for i in range(8)}, "out", "x") == "out/8_features/x"
     rows = spark.createDataFrame([("b_2",), ("b_10",), ("B_1",)], "f string")
     assert [r.f for r in rows.orderBy(naming.natural_key(F.col("f"))).collect()] == ["B_1", "b_2", "b_10"]
+    long = spark.createDataFrame([("x1" + "0" * 30,), ("x9" + "0" * 29,), ("x007",)], "f string")
+    assert [len(r.f) for r in long.orderBy(naming.natural_key(F.col("f"))).collect()] == [4, 31, 32]
     assert rows.select(naming.suffix_number(F.lit("some_log_168.xes")).alias("n")).first().n == 168
 
 
@@ -158,4 +204,66 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in got] == ["event_logs_generation", "feature_extraction", "evaluation_plotter"]
     assert got[0][1].first().target_similarity > 0.5 and got[1][1].first().n_traces == 3
     assert 0 < got[2][1]["similarity"].first().target_similarity <= 1
-    assert list((tmp_path / "out").glob("2_rmcv_rvpnot/log=t/*.txt"))
+    assert (tmp_path / "out/2_rmcv_rvpnot/t.xes").is_file() and (tmp_path / "out/features/2_rmcv_rvpnot/t.json").is_file()
+
+
+def test_generation_then_extraction(spark, tmp_path):
+    """A configuration as users have it: the default method by name, then features of what it wrote."""
+    space = {"mode": [5, 20], "sequence": [0.01, 1], "choice": [0.01, 1], "parallel": [0.01, 1], "loop": [0.01, 1], "silent": [0.01, 1], "lt_dependency": [0.01, 1], "num_traces": [10, 100], "duplicate": [0], "or": [0]}
+    steps = [
+        {"pipeline_step": "event_logs_generation", "output_path": f"{tmp_path}/out", "generator_params": {"simulation_method": "PTLG", "experiment": {"epa_normalized_sequence_entropy_linear_forgetting": 0.2, "ratio_top_20_variants": 0.4}, "config_space": space, "n_trials": 2}},
+        {"pipeline_step": "feature_extraction", "input_path": f"{tmp_path}/out", "feature_params": {"feature_set": ["trace_length", "ratio_top_20_variants"]}, "output_path": f"{tmp_path}/plots"},
+    ]
+    made, read = (r for _, r in pipeline.run(spark, steps))
+    assert read.count() == made.count() == 1 and read.first().trace_len_max > 0
+    assert read.first().ratio_top_20_variants == pytest.approx(made.first().ratio_top_20_variants)
+    assert (tmp_path / "plots/out_feat.csv").is_file()
+    with pytest.raises(NotImplementedError):
+        pipeline.run(spark, [{**steps[0], "generator_params": {**steps[0]["generator_params"], "simulation_method": "DEF"}}])
+
+
+def test_search_comes_close(spark):
+    """Four tasks, and how similar a model-based optimiser gets in 50 trials."""
+    one, two = "ratio_top_20_variants", "epa_normalized_sequence_entropy_linear_forgetting"
+    targets = spark.createDataFrame([("a", 0.2, 0.4), ("b", 0.4, 0.7), ("c", None, 0.4), ("d", 0.2, None)], f"log string, {one} double, {two} double")
+    space = {**generation.DEFAULT_SPACE, "mode": [5, 20], "num_traces": [20, 200]}
+    got = {r.log: r.target_similarity for r in generation.search(spark, targets, space, n_trials=50)[0].collect()}
+    assert all(got[k] >= least - 0.02 for k, least in (("a", 0.74), ("b", 0.61), ("c", 0.74), ("d", 1.0))), got
+
+
+def test_surrogate_predicts():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 3))
+    f = lambda x: np.c_[np.sin(3 * x[:, 0]), x[:, 1] * x[:, 2]]
+    at = rng.random((200, 3))
+    mean, doubt = generation.surrogate(x, f(x))(at)
+    assert np.abs(mean - f(at)).mean() < 0.1 and doubt.min() >= 0 and generation.surrogate(x, f(x))(x)[1].mean() < doubt.mean()
+
+
+def test_principal_components(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(40, 3)) @ np.array([[3, 0, 0], [1, 1, 0], [0, 0.5, 0.2]])
+    table = spark.createDataFrame([(f"l{i}", *map(float, row)) for i, row in enumerate(x)], "log string, a double, b double, c double")
+    points, shares, weights = representation.principal_components(table, ["a", "b", "c"])
+    centred = x - x.mean(axis=0)
+    _, s, v = np.linalg.svd(centred, full_matrices=False)
+    v = v[:2] * np.sign(v[np.arange(2), np.abs(v[:2]).argmax(axis=1)])[:, None]
+    assert shares == pytest.approx((s**2 / (s**2).sum())[:2].tolist())
+    got = {r.feature: (r.pc1, r.pc2) for r in weights.collect()}
+    assert [got[c] for c in "abc"] == [pytest.approx(tuple(w)) for w in v.T]
+    found = {r.log: (r.pc1, r.pc2) for r in points.collect()}
+    assert all(found[f"l{i}"] == pytest.approx(tuple(row)) for i, row in enumerate(centred @ v.T))
+
+
+def test_streams_keep_and_forget(spark, tmp_path):
+    """State of a case over batches, and its end when the watermark has passed it."""
+    kind = "case_id string, event_id long, activity string, ts timestamp"
+    hour = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    for k, rows in enumerate(([("c", 1, "a", hour(0)), ("d", 2, "x", hour(1))], [("c", 3, "b", hour(2))], [("d", 4, "y", hour(200))], [("d", 5, "y", hour(201))], [("c", 6, "z", hour(202))])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(kind).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+    got = {r.case_id: (r.n_events, r.prefix) for r in streaming.finished(streaming.case_prefixes(stream), "update", f"{tmp_path}/out", ["case_id"]).collect()}
+    assert got == {"c": (1, "z"), "d": (3, "x>y>y")} or got == {"c": (1, "z"), "d": (2, "y>y")}

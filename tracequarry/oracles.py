@@ -182,3 +182,64 @@ ORACLES = {
     "stream_event_counts": "select epoch(date_trunc('day', ts))::bigint as window_start, event_type, count(*) as n from events group by 1, 2",
     "stream_case_prefixes": "select user_id::varchar || '_' || ts::date::varchar as case_id, count(*) as n_events, string_agg(event_type, '>' order by ts, event_id) as prefix from events group by 1",
 }
+
+PARTS = "select 'part ' || (conv_id % 5)::varchar as log, conv_id::varchar as case_id, role as activity, make_timestamp(turn * 1000000000) as ts, row_number() over (partition by conv_id order by turn, role) as pos from conversations"
+TARGETS = f"{WEEKS} select log, {rounded(WEEK_FEATURES)} from wt"
+SHORT = lambda x: f"array_to_string(list_transform(string_split({x}, '_'), lambda t: t[1] || regexp_replace(t[2:], '[^0-9]', '', 'g')), '')"
+FAMILIES = ("simple_stats", "trace_length_stats", "trace_length_hist", "variant_stats", "ratio_top_variants", "activities_stats", "start_activities_stats", "end_activities_stats", "epa_entropy", "eventropy_trace", "eventropy_prefix", "eventropy_k_block", "eventropy_global_block")
+CUSTOMERS = "with a as (select c_custkey::varchar as log, c_acctbal / 10000 as a, case when c_custkey % 3 <> 0 then c_nationkey / 25 end as b from customer), t as (select (log::bigint + 1)::varchar as log, a, b from a)"
+
+ORACLES |= {
+    # sources and sinks: the tables that go through files
+    "xes_round_trip": f"{base(PARTS)} select log, case_id, pos, activity, epoch(ts)::bigint as second from ev",
+    "xes_files": f"{base(PARTS)} select log || '.xes' as file, 3::bigint as extensions, 2::bigint as defaults, count(*) as traces, sum(l)::bigint as events from tr group by log",
+    "trace_numbers": f"{base(PARTS)} select log, case_id, row_number() over (partition by log order by t0, case_id)::int as trace_idx from tr",
+    "feature_extraction_of_files": f"{base(PARTS)} select log, sum(n)::double as n_traces, count(*)::double as n_unique_traces, round(count(*) / sum(n), 6) as ratio_variants_per_number_of_traces, round(sum(n * l) / sum(n), 6) as trace_len_mean from va group by log",
+    "csv_features": f"{WEEKS} select log, {rounded(WEEK_FEATURES)} from wf",
+    "json_features": TARGETS,
+    "json_lines_features": f"{WEEKS} select log, {rounded(PAIR)} from wf union all select 'again ' || log, {rounded(PAIR)} from wf",
+    "json_to_csv": TARGETS,
+    "file_listing": f"{WEEKS} select log || '.json' as file from wf",
+    "merge_csv_files": ORACLES["merge_outer"],
+    "tasks_of_a_file": f"{WEEKS} select log, {rounded(PAIR)} from wt",
+    "tasks_of_a_folder": f"{WEEKS} " + " union all ".join(f"select '{f}' as competitor, log, round({PAIR[0]}, 6) as reference, round({f}, 6) as value from wt" for f in WEEK_FEATURES[1:]),
+    "tasks_with_objectives": f"{WEEKS} select log, round({PAIR[1]}, 6) as {PAIR[1]} from wt",
+    "tasks_inline": "select * from (values ('1', 0.2::double, 4.0::double), ('2', 0.5, null)) t(log, ratio_most_common_variant, mean_variant_occurrence)",
+    "unknown_task_source": "select * from (values ('nowhere.txt', 'ValueError'), ('[]', 'ValueError'), ('[1]', 'ValueError'), ('5', 'ValueError')) t(source, error)",
+    "experiment_files": "with f as (select unnest([" + ", ".join(f"'{f}'" for f in WEEK_FEATURES) + f"]) as x), p as (select a.x as feat1, b.x as feat2 from f a join f b on a.x < b.x where a.x in ('{PAIR[0]}', '{PAIR[1]}')) select 'grid_2objectives_' || {SHORT('feat1')} || '_' || {SHORT('feat2')} || '.json' as file, feat1, feat2, 'task_' || (3 * i + j + 1)::varchar as log, i * 0.5::double as v1, j * 0.5::double as v2 from p, range(0, 3) x(i), range(0, 3) y(j)",
+    "distance_matrix_of_files": f"""{WEEKS}, b as (select wf.log, {", ".join(f"wf.{f} as w_{f}, wt.{f} as t_{f}" for f in (*PAIR, WEEK_FEATURES[4]))} from wf join wt on wf.log = wt.log),
+        m as ({" union all ".join(f"select '{a}' as feat1, '{b}' as feat2, avg(sqrt(pow(w_{a} - t_{a}, 2) + {0 if a == b else f'pow(w_{b} - t_{b}, 2)'})) as value from b" for a, b in ((PAIR[1], PAIR[0]), (WEEK_FEATURES[4], PAIR[0]), (PAIR[0], PAIR[0])))})
+        select feat1, feat2, round(value, 6) as value from m union all select feat2, feat1, round(value, 6) from m where feat1 <> feat2""",
+    "instance_copies": f"{WEEKS} select 'made_' || log || '.json' as file from wf where {PAIR[0]} < 0.9",
+    "pipeline_of_a_config": f"{COMMON} select wf.log, round(wf.{PAIR[0]}, 6) as reloaded, round(wf.{PAIR[0]}, 6) as extracted, round(s, 6) as target_similarity from wf left join (select log, 1 / (1 + sqrt(sum(pow(target - achieved, 2)))) as s from cm group by log) c on wf.log = c.log",
+    "suffix_numbers": "select lower(n_name) || '_el_' || n_nationkey || '.xes' as file, n_nationkey::int as number from nation",
+    "wrapped_text": "select item_id, regexp_replace(text, '(.{140})', '\\1' || chr(10), 'g') as text from benchmark",
+    "numeric_columns": "select c_name as log, c_custkey, c_nationkey, round(c_acctbal, 6) as c_acctbal from customer",
+    "rows_above_mean": f"{WEEKS} select log, {rounded(PAIR)} from wf where {PAIR[0]} > {PAIR[1]} and trace_len_mean > 1",
+    "numbered_tasks": f"{WEEKS} select log, round({PAIR[0]}, 6) as {PAIR[0]}, 'task_' || row_number() over (order by {PAIR[0]}, log)::varchar as task from wf",
+    "instances_near_targets": f"{CUSTOMERS} select a.log, round(abs(t.a - a.a), 6) as distance from a join t on a.log = t.log where abs(t.a - a.a) < 0.1",
+    "customer_similarity": f"{CUSTOMERS} select t.log, round(1 / (1 + sqrt(pow(t.a - a.a, 2) + coalesce(pow(t.b - a.b, 2), 0))), 6) as target_similarity from t left join a on a.log = t.log",
+    "first_match_of_targets": f"{WEEKS}, f1 as (select {PAIR[0]} as f from wf order by log limit 1) select wt.log, {', '.join(f'round(wt.{p}, 6) as {p}' for p in PAIR)}, round(case when wf.log is not null then wf.{PAIR[0]} else f end, 6) as right_{PAIR[0]} from wt cross join f1 left join wf on wf.log = wt.log",
+    # features and hulls
+    "feature_table_families": "select * from " + " join ".join(f"({ORACLES[f]}) {f}" + (" using (log)" if k else "") for k, f in enumerate(FAMILIES)),
+    "eventropy_knn": f"""{base(CONV)}, code as (select activity, chr(64 + row_number() over (order by activity)::int) as c from (select distinct activity from ev)),
+        cs as (select log, w, count(*) as n from (select log, case_id, string_agg(c, '' order by pos) as w from ev join code using (activity) group by log, case_id) group by log, w),
+        ds as (select a.log, a.w, a.n, case when a.w = b.w then 0 else levenshtein(a.w, b.w) end as d, sum(case when a.w = b.w then b.n - 1 else b.n end) as m from cs a join cs b on a.log = b.log group by 1, 2, 3, 4),
+        cu as (select *, sum(m) over (partition by log, w order by d) as upto, (select sum(n) from cs t where t.log = ds.log) as total from ds),
+        nn as (select log, w, any_value(n) as n, any_value(total) as total, {", ".join(f"min(case when upto >= {k} then d end) as d{k}" for k in (3, 5, 7))} from cu group by log, w)
+        select log, {", ".join(f"round(sum(coalesce(n * log2(total * d{k} / {k} + 1), 0)) / any_value(total), 6) as eventropy_knn_{k}" for k in (3, 5, 7))} from nn group by log""",
+    "convex_hull": f"""{WEEKS}, pts as (select distinct source, x, y from (select 'Real' as source, {PAIR[0]} as x, {PAIR[1]} as y from wt union all select 'Generated', {PAIR[0]}, {PAIR[1]} from wf) where x is not null and y is not null),
+        co as (select p.source, p.x, p.y from pts p join pts q on p.source = q.source join pts r on p.source = r.source where p.x <> q.x or p.y <> q.y group by p.source, p.x, p.y, q.x, q.y
+            having bool_and((r.x = p.x and r.y = p.y) or (r.x = q.x and r.y = q.y) or (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0
+                or ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 and (q.x - p.x) * (r.x - p.x) + (q.y - p.y) * (r.y - p.y) > 0 and pow(r.x - p.x, 2) + pow(r.y - p.y, 2) < pow(q.x - p.x, 2) + pow(q.y - p.y, 2)))),
+        an as (select distinct source, x, y, atan2(y - avg(y) over s, x - avg(x) over s) as a from (select distinct * from co) window s as (partition by source)),
+        st as (select source, arg_min(a, (x, y)) as a0 from an group by source)
+        select source, (row_number() over (partition by source order by case when a < a0 then a + 2 * pi() else a end) - 1) as corner, round(x, 6) as {PAIR[0]}, round(y, 6) as {PAIR[1]} from an join st using (source)""",
+    "play_out_laws": "select * from (values ('trial_0', 1500.0::double, 6.0::double, 6.0::double, 6.0::double, 1::bigint, 0::bigint, true), ('trial_1', 1500.0, 1.0, 1.0, 6.0, 1, 0, false), ('trial_2', 1500.0, 6.0, 6.0, 6.0, 1, 0, false)) t(log, n_traces, trace_len_min, trace_len_max, n_unique_activities, repeats, clock_off, one_variant)",
+    "search_of_known_targets": "select 'r0_' || i::varchar as log, 0.0::double as cost, 1.0::double as target_similarity from range(0, 4) t(i)",
+    # streams
+    "stream_sliding_counts": "select (epoch_us(ts) // 21600000000 - k) * 21600 as window_start, event_type, count(*) as n from events, range(0, 4) r(k) group by 1, 2",
+    "stream_sessions": "with a as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from a) select epoch_us(min(ts)) as session_start, epoch_us(max(ts)) + 21600000000 as session_end, user_id, count(*) as n from b group by user_id, s",
+    "stream_decayed_sums": "select event_type, count(*)::bigint as n, round(sum(exp((epoch_us(ts) - (select epoch_us(max(ts)) from events)) / 86400000000.0::double)), 6) as weight from events group by event_type",
+    "stream_replay": simple(DAY),
+}
