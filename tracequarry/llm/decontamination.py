@@ -205,6 +205,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, item_col: str
     return docs.where(fine(docs[text_col].cast("string")))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same in DuckDB's SQL, for windows of 13 words.
+SQL = f"""
+with b as (select item_id, w, least(13, len(w)) as m from (select item_id, {_WORDS} as w from benchmark where item_id is not null) where len(w) > 0),
+iw as (select distinct item_id, m, array_to_string(w[i:i + m - 1], ' ') as s from (select item_id, w, m, unnest(range(1, len(w) - m + 2)) as i from b)),
+d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+dw as (select r, m, i, array_to_string(w[i:i + m - 1], ' ') as s from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i from d cross join (select distinct m from iw))),
+h as (select r, i, dw.m, item_id from dw join iw using (m, s)),
+n as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i + m)) as k from h) group by r),
+t as (select r, list_sort(list_distinct(list(item_id::varchar))) as items from h group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
+from d left join n using (r) left join t using (r)
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], width: int = 13) -> list[tuple]:
     """The digest rows, by comparing every window at every place; for tests."""
     import re

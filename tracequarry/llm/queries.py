@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_scores": ngram_scores.SQL}
+    return {"op2_suffix_dedup": suffix_dedup.SQL, "op3_ngram_scores": ngram_scores.SQL, "op6_substring_dedup": substring_dedup.SQL, "op8_decontamination": decontamination.SQL, "op9_exact_top_k": topk.SQL}

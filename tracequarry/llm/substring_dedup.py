@@ -170,6 +170,18 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: The same in DuckDB's SQL, for windows of 35 words.
+SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select r, i, array_to_string(w[i:i + 34], ' ') as s from (select r, w, unnest(range(1, len(w) - 33)) as i from d)),
+c as (select s from x group by s having count(*) > 1),
+p as (select distinct r, unnest(range(i, i + 35)) as k from x join c using (s)),
+k as (select d.r, d.k, d.word, p.k is null as kept from (select r, unnest(w) as word, generate_subscripts(w, 1) as k from d) d left join p on p.r = d.r and p.k = d.k)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join (select r, count_if(not kept) as n, string_agg(word, ' ' order by k) filter (where kept) as t from k group by r) g on g.r = d.r
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], length: int = 35) -> list[tuple]:
     """The digest rows from a count of every window; for tests."""
     import re

@@ -197,6 +197,21 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The same in DuckDB's SQL, for strings of 50 bytes; texts are read as hex digits, in pieces that overlap.
+SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+t as (select r, doc_id, n, base, substring(h, 2 * base + 1, 2 * 305) as t from (select r, doc_id, n, h, unnest(range(0, n - 49, 256)) as base from d where doc_id is not null and n >= 50)),
+w as (select r, doc_id, base + o as i, substring(t, 2 * o + 1, 100) as s from (select r, doc_id, base, t, unnest(range(0, least(256, n - 49 - base))) as o from t)),
+m as (select s, min(doc_id) as least from w group by s having min(doc_id) < max(doc_id)),
+g as (select r, i, lag(i) over (partition by r order by i) as before from w join m using (s) where least < doc_id),
+s as (select r, min(i) as a, max(i) + 50 as b from (select r, i, sum(case when before + 50 >= i then 0 else 1 end) over (partition by r order by i) as k from g) group by r, k),
+e as (select s.r, a, b, coalesce(lag(b) over (partition by s.r order by a), 0) as start, substring(h, 2 * coalesce(lag(b) over (partition by s.r order by a), 0) + 1, 2 * (a - coalesce(lag(b) over (partition by s.r order by a), 0))) as kept from s join d using (r)),
+k as (select r, sum(b - a) as n_removed, count(*) as n_spans, string_agg(kept, '' order by a) as kept, max(b) as stop from e group by r)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(case when k.r is null then h else kept || substring(h, 2 * stop + 1) end)) as kept_sha256
+from d left join k using (r)
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], length: int = 50) -> list[tuple]:
     """The digest rows from a map of every window to its least document; for tests."""
     texts = [(d, (t or "").encode()) for d, t in docs]

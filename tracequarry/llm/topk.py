@@ -180,3 +180,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     rest = rest.join(first.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_anti")
     ranked = first.unionByName(scored(rest, queries, rows)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+#: The same in DuckDB's SQL; products of integers are exact in doubles here.
+SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
+select * from (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s) where rank <= 10
+"""
