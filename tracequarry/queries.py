@@ -443,19 +443,18 @@ def config_space(spark, sf_dir):
 
 @query
 def tree_playout(spark, sf_dir):
-    """Features of twelve drawn configurations' logs."""
+    """Features of the logs of fifty configurations of the default space."""
     import random
 
-    space = {**generation.DEFAULT_SPACE, "mode": [5, 12], "num_traces": [50, 200]}
-    trials = generation.trial_table(spark, generation.drawn(generation.config_space(space), 12, random.Random(10)), 10)
+    trials = generation.trial_table(spark, generation.drawn(generation.config_space(), 50, random.Random(10)), 10)
     return feature_table(generation.play_out(trials), ["simple_stats", "ratio_most_common_variant", "trace_len_mean"])
 
 
 @query
 def generate_for_targets(spark, sf_dir):
-    space = {**generation.DEFAULT_SPACE, "mode": [5, 12], "num_traces": [50, 200]}
-    targets = tasks.value_grid(spark, 0.2, 0.8, 2).select(F.col("task").alias("log"), F.col("v1").alias(PAIR[0]), F.col("v2").alias(PAIR[1]))
-    return generation.search(spark, targets, space, n_trials=16, rounds=2)[0]
+    """The best of fifty trials for each target of an 11 x 11 grid."""
+    targets = tasks.value_grid(spark).select(F.col("task").alias("log"), F.col("v1").alias(PAIR[0]), F.col("v2").alias(PAIR[1]))
+    return generation.search(spark, targets)[0]
 
 
 @query
