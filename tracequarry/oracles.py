@@ -189,6 +189,48 @@ SHORT = lambda x: f"array_to_string(list_transform(string_split({x}, '_'), lambd
 FAMILIES = ("simple_stats", "trace_length_stats", "trace_length_hist", "variant_stats", "ratio_top_variants", "activities_stats", "start_activities_stats", "end_activities_stats", "epa_entropy", "eventropy_trace", "eventropy_prefix", "eventropy_k_block", "eventropy_global_block")
 CUSTOMERS = "with a as (select c_custkey::varchar as log, c_acctbal / 10000 as a, case when c_custkey % 3 <> 0 then c_nationkey / 25 end as b from customer), t as (select (log::bigint + 1)::varchar as log, a, b from a)"
 
+CODES = "code as (select activity, chr(64 + row_number() over (order by activity)::int) as c from (select distinct activity from ev))"
+
+
+def neighbours(events: str) -> str:
+    """Edit distances of all pairs of variants, each activity a letter; a variant's copies are at distance 0."""
+    return f"""{base(events)}, {CODES},
+        cs as (select log, w, count(*) as n from (select log, case_id, string_agg(c, '' order by pos) as w from ev join code using (activity) group by log, case_id) group by log, w),
+        ds as (select a.log, a.w, a.n, case when a.w = b.w then 0 else levenshtein(a.w, b.w) end as d, sum(case when a.w = b.w then b.n - 1 else b.n end) as m from cs a join cs b on a.log = b.log group by 1, 2, 3, 4),
+        cu as (select *, sum(m) over (partition by log, w order by d) as upto, (select sum(n) from cs t where t.log = ds.log) as total from ds),
+        nn as (select log, w, any_value(n) as n, any_value(total) as total, {", ".join(f"min(case when upto >= {k} then d end) as d{k}" for k in (3, 5, 7))} from cu group by log, w)
+        select log, {", ".join(f"round(sum(coalesce(n * log2(total * d{k} / {k} + 1), 0)) / any_value(total), 6) as eventropy_knn_{k}" for k in (3, 5, 7))} from nn group by log"""
+
+
+def lempel_ziv(events: str) -> str:
+    """The parsing phrase by phrase: each is the shortest text (of up to 60 letters) that none before it is."""
+    return f"""{base(events).replace("with ev as", "with recursive ev as", 1)}, {CODES},
+        ws as (select log, case_id, string_agg(c, '' order by pos) as w from ev join code using (activity) group by log, case_id),
+        os as (select ws.log, w, t0, case_id, row_number() over (partition by ws.log, w order by t0, case_id) as nth from ws join tr using (log, case_id)),
+        s as (select log, 'every' as kind, string_agg(w, '' order by t0, case_id) as w from os group by log union all select log, 'flat', string_agg(w, '' order by t0, case_id) from os where nth = 1 group by log),
+        p as (select log, kind, w, 1 as here, []::varchar[] as known, 0 as n from s
+            union all select log, kind, w, here + size, list_append(known, w[here:here + size - 1]), n + 1 from (select *, 1 + len(list_filter(range(1, 60), lambda l: list_contains(known, w[here:here + l - 1]) and here + l <= length(w))) as size from p where here <= length(w))),
+        q as (select log, kind, max(n) * log2(any_value(length(w))) / any_value(length(w)) as rate from p group by log, kind)
+        select log, round(max(case when kind = 'every' then rate end), 6) as eventropy_lempel_ziv, round(max(case when kind = 'flat' then rate end), 6) as eventropy_lempel_ziv_flattened from q group by log"""
+
+
+def iterated(matrix: str, source: str) -> str:
+    """2,000 steps of the power method: the first eigenvector ``v`` of a 5 x 5 matrix (a list of rows), its largest entry positive."""
+    times = f"list_transform(range(1, 6), lambda i: list_sum(list_transform(range(1, 6), lambda j: {matrix}[i][j] * v[j])))"
+    return f"""(select list_transform(v, lambda e: e * sign(list_filter(v, lambda g: abs(g) = list_max(list_transform(v, lambda h: abs(h))))[1])) as v from (
+        with recursive it as (select 0 as t, [0.5, 0.4, 0.3, 0.2, 0.1]::double[] as v, {matrix} from {source}
+            union all select t + 1, list_transform(u, lambda e: e / sqrt(list_sum(list_transform(u, lambda g: g * g)))), {matrix} from (select t, {times} as u, {matrix} from it where t < 2000))
+        select v from it where t = 2000))"""
+
+
+SCALED = ", ".join(f"case when stddev_pop({c}) over () > 0 then ({c} - avg({c}) over ()) / stddev_pop({c}) over () else 0 end" for c in WEEK_FEATURES)
+COMPONENTS = f"""{WEEKS}, z as (select log, [{SCALED}] as x from wf),
+    c as (select [{", ".join("[" + ", ".join(f"avg(x[{i}] * x[{j}])" for j in range(1, 6)) + "]" for i in range(1, 6))}] as c from z),
+    e1 as (select c, v as p1 from c cross join {iterated("c", "c")}),
+    e2 as (select c, p1, list_sum(list_transform(range(1, 6), lambda i: p1[i] * list_sum(list_transform(range(1, 6), lambda j: c[i][j] * p1[j])))) as l from e1),
+    f as (select p1, list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j: c[i][j] - l * p1[i] * p1[j])) as c2 from e2),
+    d as (select p1, v as p2 from f cross join {iterated("c2", "f")})"""
+
 ORACLES |= {
     # sources and sinks: the tables that go through files
     "xes_round_trip": f"{base(PARTS)} select log, case_id, pos, activity, epoch(ts)::bigint as second from ev",
@@ -222,12 +264,11 @@ ORACLES |= {
     "first_match_of_targets": f"{WEEKS}, f1 as (select {PAIR[0]} as f from wf order by log limit 1) select wt.log, {', '.join(f'round(wt.{p}, 6) as {p}' for p in PAIR)}, round(case when wf.log is not null then wf.{PAIR[0]} else f end, 6) as right_{PAIR[0]} from wt cross join f1 left join wf on wf.log = wt.log",
     # features and hulls
     "feature_table_families": "select * from " + " join ".join(f"({ORACLES[f]}) {f}" + (" using (log)" if k else "") for k, f in enumerate(FAMILIES)),
-    "eventropy_knn": f"""{base(CONV)}, code as (select activity, chr(64 + row_number() over (order by activity)::int) as c from (select distinct activity from ev)),
-        cs as (select log, w, count(*) as n from (select log, case_id, string_agg(c, '' order by pos) as w from ev join code using (activity) group by log, case_id) group by log, w),
-        ds as (select a.log, a.w, a.n, case when a.w = b.w then 0 else levenshtein(a.w, b.w) end as d, sum(case when a.w = b.w then b.n - 1 else b.n end) as m from cs a join cs b on a.log = b.log group by 1, 2, 3, 4),
-        cu as (select *, sum(m) over (partition by log, w order by d) as upto, (select sum(n) from cs t where t.log = ds.log) as total from ds),
-        nn as (select log, w, any_value(n) as n, any_value(total) as total, {", ".join(f"min(case when upto >= {k} then d end) as d{k}" for k in (3, 5, 7))} from cu group by log, w)
-        select log, {", ".join(f"round(sum(coalesce(n * log2(total * d{k} / {k} + 1), 0)) / any_value(total), 6) as eventropy_knn_{k}" for k in (3, 5, 7))} from nn group by log""",
+    "eventropy_knn": neighbours(CONV),
+    "eventropy_lempel_ziv": lempel_ziv(DAY),
+    "feature_table_wide": "select * from " + " join ".join(f"({sql}) t{k}" + (" using (log)" if k else "") for k, sql in enumerate((*(ORACLES[f] for f in FAMILIES), lempel_ziv(DAY), neighbours(DAY)))),
+    "pca_2d": f"{COMPONENTS} select log, {', '.join(f'round(list_sum(list_transform(range(1, 6), lambda i: p{k}[i] * x[i])), 6) as pc{k}' for k in (1, 2))} from z cross join d",
+    "pca_weights": f"{COMPONENTS} select f[i] as feature, round(p1[i], 6) as pc1, round(p2[i], 6) as pc2 from d, range(1, 6) r(i), (select [{', '.join(chr(39) + f + chr(39) for f in WEEK_FEATURES)}] as f)",
     "convex_hull": f"""{WEEKS}, pts as (select distinct source, x, y from (select 'Real' as source, {PAIR[0]} as x, {PAIR[1]} as y from wt union all select 'Generated', {PAIR[0]}, {PAIR[1]} from wf) where x is not null and y is not null),
         co as (select p.source, p.x, p.y from pts p join pts q on p.source = q.source join pts r on p.source = r.source where p.x <> q.x or p.y <> q.y group by p.source, p.x, p.y, q.x, q.y
             having bool_and((r.x = p.x and r.y = p.y) or (r.x = q.x and r.y = q.y) or (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0
