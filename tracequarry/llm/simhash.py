@@ -43,7 +43,7 @@ def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
     return np.fromiter((one(g, seed) for g in grams), U64, n)
 
 
-#: Fingerprints under one key that are compared with each other.
+#: Fingerprints under one key that are compared with each other; under a block, four times as many before it is salted.
 GROUP = 4096
 #: Bytes of a long fingerprint that verify a pair.
 CHECK = 64
@@ -127,8 +127,9 @@ def stars(key: np.ndarray, node: np.ndarray, bits: np.ndarray, distance: int) ->
         i = i[differing(node[i], node[i + step]) <= distance]
         add(node[i], node[i + step])
     for s, g in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        for at in range(s, s + g, 128):
-            rows = np.arange(at, min(at + 128, s + g))
+        block = max(1, (1 << 19) // g)
+        for at in range(s, s + g, block):
+            rows = np.arange(at, min(at + block, s + g))
             i, j = np.nonzero(differing(node[rows][:, None], node[None, at : s + g]) <= distance)
             keep = rows[i] < at + j
             add(node[rows[i][keep]], node[at + j[keep]])
@@ -230,13 +231,13 @@ def layout(count: int, similarity: float, recall: float) -> tuple[int, int]:
     a pair of exactly that similarity to share one with the probability ``recall``.
     """
     width = 2
-    while count >> 8 * width > 1024:
+    while count >> 8 * width > GROUP:
         width += 1
     shared = (1 - differing_share(similarity)) ** (8 * width)
     return width, max(CHECK, math.ceil(math.log(1 - recall) / math.log1p(-shared)) * width) // 8 + 1
 
 
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most: int = GROUP) -> DataFrame:
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most: int = 4 * GROUP) -> DataFrame:
     """(id, digest, root) of every row: the MD5 of its text, and a fingerprint that is the same for texts that links connect.
 
     Linked are texts that share a block and differ, over 512 bits, in at most one standard deviation
