@@ -177,6 +177,9 @@ def test_tasks(spark):
     assert tasks.value_grid(spark).count() == 121 and tasks.single_grid(spark).count() == 11
     pairs = tasks.objective_pairs(spark.createDataFrame([("c",), ("a",), ("b",)], "feature string")).collect()
     assert sorted(map(tuple, pairs)) == [("a", "b"), ("a", "c"), ("b", "c")]
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"), (F.col("id") % 3).alias("y")).repartition(6)
+    assert {r.x: r.task for r in tasks.numbered(rows, ["x"]).collect()} == {k: f"task_{k + 1}" for k in range(5000)}
+    assert tasks.numbered(rows.limit(0), ["x"]).collect() == []
 
 
 def test_generation_is_deterministic(spark):

@@ -1,6 +1,7 @@
 """Features of a log that can be counted by hand, properties of others, and edge cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,10 +93,8 @@ def test_resolve():
         resolve(["no such thing"])
 
 
-def test_phrases_and_edits():
+def test_phrases():
     assert entropies.phrases(list("aaaaaa")) == 3 and entropies.phrases([]) == 0
-    assert entropies.edit_distance(list("kitten"), list("sitting"), 9) == 3
-    assert entropies.edit_distance(list("abc"), list("xyzuvw"), 2) == 3
 
 
 def test_lempel_ziv_reads_traces_in_order(spark):
@@ -106,6 +105,26 @@ def test_lempel_ziv_reads_traces_in_order(spark):
     assert got.eventropy_lempel_ziv_flattened == pytest.approx(rate("abcadbbd"))
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bound", [1, 4])
+def test_nearest_neighbours_against_all_distances(spark, bound):
+    rng = random.Random(6)
+    traces = ["".join(rng.choice("abc") for _ in range(rng.choice((1, 3, 4, 9, 20)))) for _ in range(60)] + ["abc"] * 9 + ["", "x" * 40]
+    got = entropies.nearest_neighbours(log_of(spark, traces), bound).first()
+    full = [t for t in traces if t]
+    near = [sorted(edit_distance(a, b) for j, b in enumerate(full) if j != i) for i, a in enumerate(full)]
+    for k in (3, 5, 7):
+        assert got[f"eventropy_knn_{k}"] == pytest.approx(sum(math.log2(len(full) * n[k - 1] / k + 1) for n in near) / len(full))
+
+
 def test_nearest_neighbours(spark):
     got = entropies.nearest_neighbours(log_of(spark, ["ab"] * 4 + ["cd"] * 4)).first()
     assert got.eventropy_knn_3 == 0 and got.eventropy_knn_5 == pytest.approx(math.log2(8 * 2 / 5 + 1))

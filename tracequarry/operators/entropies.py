@@ -1,14 +1,14 @@
 """Entropies of traces, prefixes and blocks, in bits.
 
-``flattened`` counts each variant once. The complexity and nearest-neighbour entropies are
-sequential and run per log in Python: the first reads one case per variant and the order of traces, the
-second compares variants within bands of length.
+``flattened`` counts each variant once. The complexity is sequential and runs per log in Python, over one
+case per variant and the order of traces.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tracequarry.model import EventLog, prefixes, step_hash, variants
 from tracequarry.operators.counts import merged
 from tracequarry.operators.statistics import entropy
+from tracequarry.sources.files import cut
 
 BLOCKS = (1, 3, 5)
 NEIGHBOURS = (3, 5, 7)
@@ -112,51 +113,51 @@ def lempel_ziv(log: EventLog) -> DataFrame:
     return variants.groupBy("log").cogroup(traces.groupBy("of")).applyInPandas(parse, "log string, eventropy_lempel_ziv double, eventropy_lempel_ziv_flattened double")
 
 
-def edit_distance(a: list, b: list, most: int) -> int:
-    """The edit distance of two sequences, or most + 1 if it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0], low = row[0], i, i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-            low = min(low, row[j])
-        if low > most:
-            return most + 1
-    return row[-1]
+def lettered(log: EventLog) -> DataFrame:
+    """One row per non-empty variant: log, n_events, v1, v2, its frequency ``n`` and its activities as ``letters``, one character each."""
+    one = log.traces.where("n_events > 0").groupBy("log", "n_events", "v1", "v2").agg(F.count("*").alias("n"), F.min("case_id").alias("case_id"))
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.row_number().over(Window.partitionBy("log").orderBy("activity")) + 0xFFFF), 8, "0")), "UTF-32")
+    alphabet = log.events.select("log", "activity").distinct().withColumn("letter", letter)  # a log's different activities
+    rows = log.events.select("log", "case_id", "pos", "activity").join(one.select("log", "case_id"), ["log", "case_id"]).join(alphabet, ["log", "activity"])
+    texts = rows.groupBy("log", "case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("letters"))
+    return one.join(texts, ["log", "case_id"]).drop("case_id")
 
 
-def nearest_neighbours(log: EventLog) -> DataFrame:
+def nearest_neighbours(log: EventLog, bound: int = 4) -> DataFrame:
     """eventropy_knn_k: the mean over traces of log2(N * d / k + 1), with d the edit distance to the k-th nearest other trace.
 
-    A variant's copies are at distance 0. Variants are compared in order of length outwards, until
-    the difference of lengths alone exceeds the k-th distance found.
+    A variant's copies are at distance 0. Variants meet those whose length differs by at most a bound on
+    the distance; those that don't have enough neighbours within it go on with a bound four times as large.
     """
-    most = max(NEIGHBOURS)
-
-    def estimate(rows: pd.DataFrame) -> pd.DataFrame:
-        variants = sorted(((list(a), int(n)) for a, n in zip(rows["activities"], rows["n"], strict=True)), key=lambda v: len(v[0]))
-        total, sums = sum(n for _, n in variants), dict.fromkeys(NEIGHBOURS, 0.0)
-        for i, (acts, n) in enumerate(variants):
-            near = [0] * min(n - 1, most)
-            left, right = i - 1, i + 1
-            while left >= 0 or right < len(variants):
-                gap = [len(acts) - len(variants[left][0]) if left >= 0 else math.inf, len(variants[right][0]) - len(acts) if right < len(variants) else math.inf]
-                if len(near) >= most and min(gap) >= near[most - 1]:
-                    break
-                k = left if gap[0] <= gap[1] else right
-                left, right = (left - 1, right) if k == left else (left, right + 1)
-                bound = near[most - 1] - 1 if len(near) >= most else max(len(acts), len(variants[k][0]))
-                d = edit_distance(acts, variants[k][0], bound)
-                if d <= bound:
-                    near = sorted(near + [d] * min(variants[k][1], most))[:most]
-            for k in NEIGHBOURS:
-                if len(near) >= k:
-                    sums[k] += n * math.log2(total * near[k - 1] / k + 1)
-        return pd.DataFrame({"log": [rows["log"].iloc[0]], **{f"eventropy_knn_{k}": [sums[k] / total if total else 0.0] for k in NEIGHBOURS}})
-
-    return sequences(log).select("log", "n", "activities").groupBy("log").applyInPandas(estimate, "log string, " + ", ".join(f"eventropy_knn_{k} double" for k in NEIGHBOURS))
+    most, key = max(NEIGHBOURS), ["log", "n_events", "v1", "v2"]
+    variants = cut(lettered(log))
+    longest = variants.agg(F.max("n_events")).first()[0] or 0
+    others = variants.select("log", F.col("n_events").alias("size"), F.col("letters").alias("other"), F.col("n").alias("m"), F.col("v1").alias("o1"), F.col("v2").alias("o2"))
+
+    def kth(k):
+        step = lambda a, x: F.struct((a["upto"] + x["m"]).alias("upto"), F.when(a["d"].isNull() & (a["upto"] + x["m"] >= k), x["d"]).otherwise(a["d"]).alias("d"))
+        return F.aggregate("found", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("int").alias("d")), step)["d"].alias(f"d{k}")
+
+    own = F.array(F.struct(F.lit(0).alias("d"), (F.col("n") - 1).alias("m")))
+    settled, pending = [variants.where(F.col("n") > most).select("log", "n", *(F.lit(0).alias(f"d{k}") for k in NEIGHBOURS))], variants.where(F.col("n") <= most)
+    while True:
+        probes = pending.withColumn("off", F.explode(F.sequence(F.lit(-bound), F.lit(bound)))).withColumn("size", F.col("n_events") + F.col("off"))
+        met = probes.join(others, ["log", "size"]).where("off <> 0 or v1 <> o1 or v2 <> o2").withColumn("d", F.levenshtein("letters", "other", bound)).where("d >= 0")
+        near = met.groupBy(*key, "d").agg(F.sum("m").alias("m")).groupBy(*key).agg(F.collect_list(F.struct("d", "m")).alias("near"))
+        judged = pending.join(near, key, "left").withColumn("found", F.array_sort(F.concat(own, F.coalesce("near", F.array().cast("array<struct<d:int,m:bigint>>")))))
+        judged = cut(judged.select(*key, "n", "letters", *map(kth, NEIGHBOURS)))
+        if bound >= longest:
+            settled.append(judged.select("log", "n", *(f"d{k}" for k in NEIGHBOURS)))
+            break
+        enough = F.col(f"d{most}").isNotNull()
+        settled.append(judged.where(enough).select("log", "n", *(f"d{k}" for k in NEIGHBOURS)))
+        pending, bound = judged.where(~enough).select(*key, "n", "letters"), bound * 4
+        if pending.isEmpty():
+            break
+    rows = reduce(lambda a, b: a.unionByName(b), settled)
+    total = variants.groupBy("log").agg(F.sum("n").alias("total"))
+    value = lambda k: F.coalesce(F.sum(F.col("n") * F.log2(F.col("total") * F.col(f"d{k}") / k + 1)), F.lit(0.0)) / F.max("total")
+    return rows.join(total, "log").groupBy("log").agg(*(value(k).alias(f"eventropy_knn_{k}") for k in NEIGHBOURS))
 
 
 def eventropies(log: EventLog) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracequarry.sources.files import cut
+
 
 def objective_pairs(features: DataFrame) -> DataFrame:
     """(feat1, feat2): the unordered pairs of different features of a table (feature), a registry's size.
@@ -17,8 +19,15 @@ def objective_pairs(features: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds task names, task_1 onwards, in the order."""
-    return rows.withColumn("task", F.concat(F.lit("task_"), F.row_number().over(Window.orderBy(*order)).cast("string")))
+    """Adds task names, task_1 onwards, in the order.
+
+    Rows are sorted in ranges, side by side; a range's first number is the size of those before it.
+    """
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__own": own}))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = placed.groupBy("__part").agg(F.count("*").alias("__size")).select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").withColumn("task", F.concat(F.lit("task_"), (F.col("__start") + F.col("__own") + 1).cast("string"))).drop("__part", "__own", "__start")
 
 
 def value_grid(spark: SparkSession, low: float = 0.0, high: float = 1.0, steps: int = 11) -> DataFrame:
