@@ -160,19 +160,20 @@ class Packer:
         return rows
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, sequences: int = 256, linear: float = 1.0, quadratic: float = 1 / 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, sequences: int = 256, linear: float = 1.0, quadratic: float = 1 / 4096, id_col: str = "doc_id", text_col: str = "text", keep: int = 500_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The tokenizer's file is read on the driver and broadcast; its size is fixed. A buffer holds the
-    tokens of ``sequences`` sequences and one more document.
+    tokens of ``sequences`` sequences and one more document, a worker the ids of at most about ``keep``
+    pieces of text, some 200 bytes each.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    shared, key = docs.sparkSession.sparkContext.broadcast(spec), hash((spec, end_id))
+    shared, key = docs.sparkSession.sparkContext.broadcast(spec), hash((spec, end_id, keep))
 
     def packed(batches):
         if key not in _encoders:
-            _encoders[key] = Encoder(shared.value, end_id)
+            _encoders[key] = Encoder(shared.value, end_id, keep)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, sequences, linear, quadratic)
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], SCHEMA.replace(" long", "").split(", "))
         for batch in slices(batches, 500):
