@@ -31,10 +31,6 @@ class EventLog:
     events: DataFrame
     traces: DataFrame
 
-    def restricted(self, condition: Column) -> "EventLog":
-        """The log's part in which a condition on ``log`` or ``case_id`` holds."""
-        return EventLog(self.events.where(condition), self.traces.where(condition))
-
 
 def from_positions(events: DataFrame, empty: DataFrame | None = None) -> EventLog:
     """A log of rows (log, case_id, pos, activity, ts) and, if any, (log, case_id) of traces without events.

@@ -12,8 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracequarry.plans.features import long_form
-
 
 def common(targets: DataFrame, achieved: DataFrame) -> DataFrame:
     """(log, feature, target, achieved) of the features that both long tables have for a log."""
@@ -158,8 +156,3 @@ def unit_range_features(rows: DataFrame) -> DataFrame:
 def numeric_part(table: DataFrame) -> DataFrame:
     """``log`` and the numeric columns."""
     return table.select("log", *(c for c, kind in table.dtypes if c != "log" and kind in ("double", "float", "bigint", "int", "smallint", "tinyint")))
-
-
-def longer(table: DataFrame) -> DataFrame:
-    """The long form of a wide table."""
-    return long_form(table)
