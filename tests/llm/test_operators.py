@@ -520,6 +520,26 @@ def test_bounds_hold_and_spare_exact_vectors(spark):
     assert 40 * 10 <= topk.survivors(found, 10).count() < 0.005 * 40 * 20_000  # of all pairs, the exact vectors read
 
 
+def test_top_k_of_vectors_that_many_rows_share(spark):
+    """No copy counts that can't be among the best, and none that can is lost."""
+    rng = np.random.default_rng(6)
+    loose = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(1, 300)]
+    common = [float(x) for x in (9, 9, 9, -9, 9, 9)]
+    copies = [(i, common) for i in range(290, 900)] + [(300, common)] * 15 + [(296, common)] * 12 + [(297, common)] * 3 + [(100, loose[3][1])] * 14
+    rows = loose + copies
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    few = topk.thinned(topk.integer_vectors(table, "vec_id", "embedding", 1), 10)
+    assert few.where(F.col("v") == F.array(*map(F.lit, map(int, common)))).count() == 8 + 10 + 10 + 4  # ids 290 to 300, three of them repeated
+    want, first = [], {}
+    for i, v in rows:
+        if i % 100 == 0:
+            first[i] = min(first.get(i, v), v)
+    for q, v in first.items():
+        found = sorted((-int(np.dot(v, x)), j) for j, x in rows if j != q)[:10]
+        want += [(q, rank, j, -s) for rank, (s, j) in enumerate(found, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(table, scale=1).collect()) == sorted(want)
+
+
 def test_top_k_of_few(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(table).orderBy("rank").collect()] == [(0, 1, 1, 512 * 1024), (0, 2, 2, 512 * 1024)]

@@ -2,7 +2,8 @@
 
 Vectors are integers, floor(scale * x). The approximation file is a table of its own: blocks of
 vectors with one byte per component, the number of its cell, and the grid of the cells. A query's
-product with the cells gives bounds of its scores from below and above.
+product with the cells gives bounds of its scores from below and above. Of vectors that very many rows
+share, only the rows that can be among a query's best are in it.
 
 Queries are a table too, and are answered block by block; a block is all that the driver or a task
 holds of them. The scan of the approximations keeps the vectors whose upper bound reaches the k-th
@@ -52,6 +53,24 @@ def matrices(batch: pa.RecordBatch):
         yield ids[rows], flat[(ends[rows] - n)[:, None] + np.arange(n)]
 
 
+def thinned(rows: DataFrame, k: int) -> DataFrame:
+    """The rows that any query can have among its k best.
+
+    Of equal vectors, only the k + 1 smallest ids can be (one may be the query's own), and of rows that
+    repeat an id and its vector, k. So a vector that very many rows share costs a query no more than k + 1
+    candidates; both limits are taken before rows move. Vectors are told apart by 128 bits of hashes.
+    """
+    name = [F.xxhash64(F.lit(seed), "v").alias(f"h{seed}") for seed in (0, 1)]
+    hashed = rows.select("id", "v", *name)
+    shared = cut(hashed.groupBy("h0", "h1").agg(F.count("*").alias("n")).where(F.col("n") > k).select("h0", "h1"))
+    if shared.isEmpty():
+        return rows
+    ids = hashed.join(shared, ["h0", "h1"], "left_semi").groupBy("h0", "h1", "id").agg(F.least(F.count("*"), F.lit(k)).alias("times"), F.first("v").alias("v"))
+    least = ids.withColumn("place", F.row_number().over(Window.partitionBy("h0", "h1").orderBy("id"))).where(F.col("place") <= k + 1)
+    few = cut(least.select("id", "v", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy"))
+    return hashed.join(shared, ["h0", "h1"], "left_anti").select("id", "v").unionByName(few)
+
+
 def approximated(rows: DataFrame) -> DataFrame:
     """The approximation file: blocks of ids and cells, with the least value and the width of each component's cells."""
 
@@ -154,6 +173,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     """
     spark, rows = vectors.sparkSession, integer_vectors(vectors, id_col, vector_col, scale)
     queries = cut(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
+    rows = thinned(rows, k)
     cells = cut(approximated(rows))
     n = max(1, -(-queries.count() // max(1, block // 2)))
     part = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n))
