@@ -276,8 +276,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(similar(docs, id_col=id_col, text_col=text_col, **parameters))
     order = F.struct(F.col("id").isNull().alias("n"), "id", "digest")
     keys = cut(found.groupBy("root", "id", "digest").agg(F.count("*").alias("times")))
-    first = keys.groupBy("root").agg(F.min(order).alias("first"))
-    judged = cut(keys.join(first, "root").select("id", "digest", "times", (order == F.col("first")).alias("stays")))
+    first = keys.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.id").alias("first_id"), F.col("first.digest").alias("first_digest"), F.lit(True).alias("first"))
+    # by row, not by root: a root may hold a third of all rows
+    judged = keys.join(first, keys["id"].eqNullSafe(first["first_id"]) & keys["digest"].eqNullSafe(first["first_digest"]), "left")
+    judged = cut(judged.select("id", "digest", "times", F.coalesce("first", F.lit(False)).alias("stays")))
     gone, repeated = (judged.where(which).select("id", "digest") for which in ("not stays", "stays and times > 1"))
     key = (docs[id_col].cast("long"), F.unhex(F.md5(docs[text_col].cast("string").cast("binary"))))
 
