@@ -270,3 +270,19 @@ def test_streams_keep_and_forget(spark, tmp_path):
     stream = spark.readStream.schema(kind).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
     got = {r.case_id: (r.n_events, r.prefix) for r in streaming.finished(streaming.case_prefixes(stream), "update", f"{tmp_path}/out", ["case_id"]).collect()}
     assert got == {"c": (1, "z"), "d": (3, "x>y>y")}
+
+
+def test_cases_that_share_a_bucket(spark, tmp_path):
+    """Cases are kept and forgotten one by one, however few rows of the state store they share; Python is called per bucket, not per case."""
+    kind = "case_id string, event_id long, activity string, ts timestamp"
+    hour = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    first = [(f"k{i}", 10 * i + j, "ab"[j], hour(1 - j)) for i in range(300) for j in (0, 1)]
+    batches = (first, [("k0", 1, "c", hour(2)), ("k0", 0, "b", hour(2))], [("k1", 2, "y", hour(200))], [("k1", 3, "y", hour(201))], [("k1", 4, "w", hour(202)), ("k2", 5, "z", hour(202))])
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    for buckets in (1, 7):
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+        folder = f"{tmp_path}/out{buckets}"
+        got = {r.case_id: (r.n_events, r.prefix) for r in streaming.finished(streaming.case_prefixes(stream, buckets=buckets), "update", folder, ["case_id"]).collect()}
+        assert got == {f"k{i}": (2, "b>a") for i in range(300)} | {"k0": (4, "b>a>b>c"), "k1": (5, "b>a>y>y>w"), "k2": (1, "z")}
+        assert spark.read.format("statestore").option("batchId", 0).load(f"{folder}/checkpoint").count() == buckets

@@ -56,26 +56,40 @@ def decayed(sums: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.col("total") * F.exp((F.unix_micros("window_start") - F.unix_micros("end")) / scale)).alias("weight"))
 
 
-def case_prefixes(events: DataFrame, late: str = "1 day", idle_hours: int = 48) -> DataFrame:
+def case_prefixes(events: DataFrame, late: str = "1 day", idle_hours: int = 48, buckets: int = 2048) -> DataFrame:
     """(case_id, n_events, prefix) after each batch that has events of a case (case_id, event_id, activity, ts): its length and activities so far.
 
-    State is one row per case, in the state store; a batch's events of a case are ordered by time and id.
-    A case is forgotten when the watermark has passed its last event by ``idle_hours``.
+    A batch's events of a case are ordered by time and id. A case is forgotten when the watermark has passed its
+    last event by ``idle_hours``. Cases share ``buckets`` rows of the state store, by hash: a call of Python costs
+    milliseconds, and there is one per bucket, not per case. A bucket's row is written anew when a batch has events of it.
+    Their number can't change while a checkpoint is used.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = {case: rest for case, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        now, seen = state.getCurrentWatermarkMs(), {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+            for case, activity, us in zip(rows["case_id"].tolist(), rows["activity"].tolist(), rows["us"].fillna(0).tolist(), strict=True):
+                activities, last = seen.get(case, ([], 0))
+                activities.append(activity)
+                seen[case] = activities, max(last, us)
+        for case, (activities, us) in seen.items():
+            n, prefix, until = held.get(case, (0, "", 0))
+            held[case] = n + len(activities), ">".join(([prefix] if n else []) + activities), max(until, int(us) // 1000 + idle_hours * 3_600_000, now + 1)
+        live = [(case, *rest) for case, rest in held.items() if rest[2] >= now]
+        if live:
+            state.update(tuple(map(list, zip(*live, strict=True))))
+            state.setTimeoutTimestamp(min(until for *_, until in live))
+        else:
             state.remove()
-            return
-        n, prefix, last = state.get if state.exists else (0, "", 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        n, prefix = n + len(rows), ">".join(([prefix] if n else []) + rows["activity"].tolist())
-        last = max(last, int(rows["ts"].max().timestamp() * 1000))
-        state.update((n, prefix, last))
-        state.setTimeoutTimestamp(max(last + idle_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"case_id": [key[0]], "n_events": [n], "prefix": [prefix]})
-
-    return events.withWatermark("ts", late).groupBy("case_id").applyInPandasWithState(step, "case_id string, n_events long, prefix string", "n long, prefix string, last long", "update", GroupStateTimeout.EventTimeTimeout)
+        if seen:
+            yield pd.DataFrame([(case, *held[case][:2]) for case in seen], columns=["case_id", "n_events", "prefix"])
+
+    timed = events.withWatermark("ts", late).select(F.col("case_id").cast("string").alias("case_id"), "event_id", "activity", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    keyed = timed.withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets))).groupBy("bucket")
+    held = "case_ids array<string>, n array<long>, prefixes array<string>, until array<long>"
+    return keyed.applyInPandasWithState(step, "case_id string, n_events long, prefix string", held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def finished(stream: DataFrame, mode: str, folder: str, keys: list[str] | None = None) -> DataFrame:
