@@ -6,11 +6,13 @@ import gzip
 import random
 import urllib.parse
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracequarry.llm import decontamination, ngram_scores, packing, quality, queries, secrets, simhash, substring_dedup, suffix_dedup, token_counts, topk
@@ -590,6 +592,40 @@ def test_similar_texts(spark, most):
     assert len({bytes(found[k]) for k in range(150)}) == 150
 
 
+@pytest.mark.parametrize("most", [1, 6])
+def test_similar_texts_under_frequent_keys(spark, most):
+    """Groups don't depend on how many fingerprints share a key: pairs under frequent keys are compared in full."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(12):  # families of texts with similarities around the least that links
+        base = [rng.choice(words) for _ in range(150)]
+        for k in range(8):
+            text = list(base)
+            for i in rng.sample(range(150), 1 + k % 3):
+                text[i] = rng.choice(words)
+            texts.append(" ".join(text))
+    groups = lambda most: sorted(map(sorted, _by_root(simhash.similar(frame(spark, texts), most=most))))
+    assert groups(most) == groups(16_384)
+    # no pair linked before: every link of the exact way, against all pairs
+    fps = [i.to_bytes(64, "little") for i in (0, 1, 3, 7, 1 << 100, (1 << 40) - 1, (1 << 41) - 1, (1 << 300) - 1)]
+    rows = spark.createDataFrame([(f, k) for k in (1, 2) for f in fps], "fp binary, key long")
+    link = lambda found, nodes: simhash.components(len(nodes), np.array([nodes.index(bytes(r.a)) for r in found], int), np.array([nodes.index(bytes(r.b)) for r in found], int)).tolist()
+    pairs = [Row(a=a, b=b) for a, b in combinations(fps, 2) if (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() <= 2]
+    assert link(simhash.across(rows, None, 2, most).collect(), fps) == link(pairs, fps) == [0, 0, 0, 0, 0, 5, 5, 7]
+    labels = spark.createDataFrame([(f, fps[0]) for f in fps[:4]], "node binary, root binary")
+    found = link(simhash.across(rows, labels, 2, most).collect(), fps)
+    assert found == [0, 1, 2, 3, 0, 5, 5, 7]
+    assert simhash.across(rows.where(F.col("fp").isin(fps[:4])), labels, 2, most).count() == 0
+
+
+def _by_root(found):
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(bytes(r.root), []).append(r.id)
+    return groups.values()
+
+
 def test_representatives_are_rows(spark):
     rng = random.Random(12)
     a, b, c = (prose(rng, 80, 20_000) for _ in range(3))

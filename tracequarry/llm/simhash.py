@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.llm.common import U64, cut, id_and_text, scramble, slices, texts_as_bytes
@@ -237,12 +237,59 @@ def layout(count: int, similarity: float, recall: float) -> tuple[int, int]:
     return width, max(CHECK, math.ceil(math.log(1 - recall) / math.log1p(-shared)) * width) // 8 + 1
 
 
+def across(rows: DataFrame, labels: DataFrame | None, distance: int, most: int) -> DataFrame:
+    """(a, b): roots that link fingerprints fp of different roots under an equal ``key``, for keys that very many share.
+
+    A key's rows are dealt into parts of some ``most`` rows, and every two parts meet in a group of their own. A root
+    of more than ``most`` rows has parts of its own, which do not meet each other; a key of one root has no groups.
+    """
+    if labels is None:
+        rooted = cut(rows.select("fp", "key", F.col("fp").alias("root")).distinct())
+    else:
+        rooted = cut(rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "key", F.coalesce("root", "fp").alias("root")).distinct())
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = cut(sizes.join(sizes.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1"), "key", "left_semi"))
+    own = F.when(F.col("n") > most, F.col("root")).alias("unit")
+    units = sizes.groupBy("key", own).agg((F.floor(F.sum("n") / most) + 1).alias("parts"))
+    of_key = Window.partitionBy("key")
+    units = units.withColumn("total", F.sum("parts").over(of_key)).withColumn("first", F.sum("parts").over(of_key.orderBy("unit")) - F.col("parts"))
+    units = cut(units.select("key", "unit", F.struct("parts", "total", "first").alias("u")))  # one for every ``most`` rows, and one a key
+    large = units.where("unit is not null").select("key", F.col("unit").alias("root"), F.col("u").alias("large"))
+    rest = units.where("unit is null").select("key", F.col("u").alias("rest"))
+    dealt = rooted.join(F.broadcast(large), ["key", "root"], "left").join(F.broadcast(rest), "key", "left")
+    dealt = dealt.withColumn("u", F.coalesce("large", "rest")).where("u is not null").withColumn("part", F.col("u.first") + F.pmod(F.xxhash64("fp", "key"), "u.parts"))
+    met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("u.total") - 1), lambda q: F.col("large").isNull() | (q < F.col("u.first")) | (q >= F.col("u.first") + F.col("u.parts")))
+    dealt = dealt.select("fp", "root", "key", "part", F.explode(met).alias("other"))
+    dealt = dealt.select("fp", "root", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).alias("upper"))
+
+    def linked(table: pa.Table) -> pa.Table:
+        found = table["root"].combine_chunks().dictionary_encode()
+        roots, root = found.dictionary, found.indices.to_numpy().astype(np.int64)
+        bits = np.frombuffer(b"".join(table["fp"].to_pylist()), U64).reshape(table.num_rows, -1)
+        upper = table["upper"].to_numpy()
+        one = table["low"][0] == table["high"][0]  # a part meets itself
+        x, y = (np.arange(len(bits)),) * 2 if one else (np.flatnonzero(~upper), np.flatnonzero(upper))
+        a = b = np.zeros(0, np.int64)
+        step = max(1, (1 << 19) // max(1, len(y)))
+        for at in range(0, len(x), step):
+            some = x[at : at + step]
+            i, j = np.nonzero((np.bitwise_count(bits[some][:, None] ^ bits[y][None]).sum(axis=-1, dtype=np.int64) <= distance) & (root[some][:, None] != root[y][None]))
+            if len(i):  # only a spanning star of what was found so far
+                label = components(len(roots), np.r_[a, root[some][i]], np.r_[b, root[y][j]])
+                a = np.flatnonzero(label != np.arange(len(label)))
+                b = label[a]
+        return pa.table({"a": roots.take(pa.array(a)), "b": roots.take(pa.array(b))})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(linked, "a binary, b binary")
+
+
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most: int = 4 * GROUP) -> DataFrame:
     """(id, digest, root) of every row: the MD5 of its text, and a fingerprint that is the same for texts that links connect.
 
     Linked are texts that share a block and differ, over 512 bits, in at most one standard deviation
     more bits than texts of that similarity are expected to. Keys that more than ``most`` fingerprints
-    share are salted: such dense groups stay connected through their many other keys.
+    share are salted first, which connects dense groups; what these links leave apart under such a key
+    is then compared in full by ``across``, so that every pair that shares a block is judged or connected.
     """
     source = id_and_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     width, words = layout(docs.count(), similarity, recall)
@@ -255,13 +302,18 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
             yield pa.RecordBatch.from_arrays([batch["id"], batch["digest"], pa.array(fps, pa.binary())], ["id", "digest", "long"])
 
     rows = cut(source.mapInArrow(made, "id long, digest binary, long binary")).withColumn("fp", F.substring("long", 1, CHECK))
-    distinct = rows.groupBy("fp").agg(F.min("long").alias("long"))
+    distinct = rows.select("fp", "long").distinct()
     blocks = 8 * words // width
     keyed = cut(distinct.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("long", width * k + 1, width)) for k in range(blocks)))).alias("key")))
+    salted = keyed
     if (hot := frequent(keyed, most)) is not None:
         salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("fp", "key"), F.floor(F.col("n") / most) + 1))
-        keyed = keyed.join(hot, "key", "left").select("fp", F.when(salt.isNull(), F.col("key")).otherwise(F.xxhash64("key", salt)).alias("key"))
-    labels = contracted(starred(keyed, keyed.count(), distance, "binary"))
+        salted = keyed.join(hot, "key", "left").select("fp", F.when(salt.isNull(), F.col("key")).otherwise(F.xxhash64("key", salt)).alias("key"))
+    labels = contracted(starred(salted, keyed.count(), distance, "binary"))
+    if hot is not None:
+        more = cut(across(keyed.join(hot, "key", "left_semi"), labels, distance, most))
+        if not more.isEmpty():
+            labels = contracted(more if labels is None else more.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rows = rows.select("id", "digest", "fp")
     return rows.withColumnRenamed("fp", "root") if labels is None else rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("id", "digest", F.coalesce("root", "fp").alias("root"))
 
