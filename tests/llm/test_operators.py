@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import random
+import time
 import urllib.parse
 import zlib
 from itertools import combinations
@@ -592,6 +593,28 @@ def test_similar_texts(spark, most):
     assert len({bytes(found[k]) for k in range(150)}) == 150
 
 
+def test_places_of_keys():
+    """As a binary search, in less time."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 1000, 400_000):
+        keys = np.unique(np.r_[rng.integers(0, 1 << 64, n, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)[: n - 1]])
+        wanted = rng.choice(keys, 3 * n)
+        assert (ngram_scores.places(keys, wanted) == np.searchsorted(keys, wanted)).all()
+    close = np.arange(50, dtype=np.uint64)
+    assert ngram_scores.places(close, close[::-1]).tolist() == list(range(50))[::-1]
+    assert len(ngram_scores.places(keys[:0], keys[:0])) == 0
+
+    def seconds(way):
+        spent = []
+        for _ in range(3):
+            began = time.process_time()
+            way(keys, wanted)
+            spent.append(time.process_time() - began)
+        return min(spent)
+
+    assert seconds(ngram_scores.places) < seconds(np.searchsorted)
+
+
 @pytest.mark.parametrize("most", [1, 6])
 def test_similar_texts_under_frequent_keys(spark, most):
     """Groups don't depend on how many fingerprints share a key: pairs under frequent keys are compared in full."""

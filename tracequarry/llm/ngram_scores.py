@@ -30,6 +30,22 @@ ROUND = 1 << 40
 BUCKET = 16 << 20
 
 
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among the sorted distinct keys, which hold all of them.
+
+    Keys are evenly spread, so that a table of their first bits leads to the place or a few before it: a fraction of a binary search's cost.
+    """
+    shift = U64(64 - max(1, len(keys).bit_length()))
+    first = np.zeros((1 << 64 - int(shift)) + 1, np.int64)
+    np.cumsum(np.bincount((keys >> shift).astype(np.int64), minlength=len(first) - 1), out=first[1:])
+    at = first[(wanted >> shift).astype(np.int64)]
+    left = np.flatnonzero(keys[at] != wanted) if len(wanted) else at
+    while len(left):
+        at[left] += 1
+        left = left[keys[at[left]] != wanted[left]]
+    return at
+
+
 class Exploded:
     """A chunk's n-grams: keys by order, with the places where an n-gram fits into its document."""
 
@@ -71,7 +87,7 @@ class Exploded:
             total = np.concatenate(got) if got else np.zeros(0, np.int64)
             for k, fits in parts:
                 c = np.zeros(len(self.words), np.int64)
-                c[fits] = total[np.searchsorted(keys, k[fits])]
+                c[fits] = total[places(keys, k[fits])]
                 counts.append(c)
         raise AssertionError
 
